@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import chat, mixing, sharding
+from panelloom.llm import chat, decontam, mixing, quality, sharding, toxicity
 from panelloom.llm.common import table
 
 
+def op2_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` against all of ``benchmark``: one row per leaked pair."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``conversations``: prompt, completions and masks as text, one row per conversation."""
     pairs = chat.format_pairs(chat.pairs_from_conversations(table(spark, sf_dir, "conversations")))
@@ -19,17 +24,28 @@ def op4_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumns({"n_prompt_turns": F.col("n_prompt_turns").cast("long"), "chosen_mask": runs("chosen_mask"), "rejected_mask": runs("rejected_mask")})
 
 
+def op5_ratio_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op2_string_tiling": op2_string_tiling,
     "op4_preference_format": op4_preference_format,
+    "op5_ratio_ngrams": op5_ratio_ngrams,
     "op7_virtual_slots": op7_virtual_slots,
+    "op8_decision_list": op8_decision_list,
     "op10_source_mix": op10_source_mix,
 }
 
