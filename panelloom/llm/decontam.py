@@ -170,7 +170,8 @@ def with_hits(docs: DataFrame, bench: DataFrame, min_tile: int = MIN_TILE, cover
     def hits(text: pd.Series) -> pd.Series:
         return pd.Series(index.value.hits(text.fillna("").tolist()), dtype=object)
 
-    return rows.select(ROW, hits(F.col(ROW)["text"]).alias("hits"))
+    # Declared non-deterministic, or the filter that explode implies would work it out a second time.
+    return rows.select(ROW, hits.asNondeterministic()(F.col(ROW)["text"]).alias("hits"))
 
 
 def _joined_hits(rows: DataFrame, items: DataFrame, min_tile: int, coverage: float) -> DataFrame:

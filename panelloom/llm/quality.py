@@ -26,6 +26,8 @@ from panelloom.llm.common import ROW, bound_batches, packed
 from panelloom.llm.kernels import IS_SPACE, counts_by_text, grams, joined, mix, words
 
 WINDOW = 5
+#: Share of the best information gain that a more cautious threshold must keep.
+SLACK = 0.95
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks")
 FEATURES = ("n_words", "word_length", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "digit_share", "mark_share", "words_per_line")
 
@@ -85,8 +87,8 @@ def _counted(text: pd.Series) -> pd.DataFrame:
 
 
 def statistics(text: Column | str) -> Column:
-    """A struct of COUNTS."""
-    return F.pandas_udf(_counted, ", ".join(f"{c} long" for c in COUNTS))(text)
+    """A struct of COUNTS, worked out once per row (a deterministic function would be repeated by pushed-down filters)."""
+    return F.pandas_udf(_counted, ", ".join(f"{c} long" for c in COUNTS)).asNondeterministic()(text)
 
 
 def features(s: Column) -> dict[str, Column]:
@@ -152,7 +154,12 @@ def _grow(x: np.ndarray, bad: np.ndarray, cuts: list[np.ndarray], depth: int) ->
             n = np.cumsum(np.bincount(order, ~bad[inside], len(cuts[f]) + 1))
             for way, gains in (("<=", _gain(p, n, p0, n0)[:-1]), (">", _gain(p0 - p, n0 - n, p0, n0)[:-1])):
                 if len(gains) and gains.max() > best[0]:
-                    best = (gains.max(), (name, way, float(cuts[f][gains.argmax()])))
+                    # of near equal cuts the one that rejects least, and half-way to the next value seen
+                    near = np.flatnonzero(gains >= gains.max() * SLACK)
+                    k = int(near[0] if way == "<=" else near[-1])
+                    beyond = v[v > cuts[f][k]]
+                    at = (cuts[f][k] + beyond.min()) / 2 if len(beyond) else cuts[f][k]
+                    best = (gains.max(), (name, way, float(at)))
         if best[1] is None:
             break
         rule.append(best[1])
@@ -160,15 +167,15 @@ def _grow(x: np.ndarray, bad: np.ndarray, cuts: list[np.ndarray], depth: int) ->
     return rule
 
 
-def learn_list(x: np.ndarray, rejected: np.ndarray, precision: float = 0.9, depth: int = 4, most: int = 24, seed: int = 5) -> DecisionList:
-    """Sequential covering: grow on two thirds, prune on one third, stop at a rule below ``precision``."""
+def learn_list(x: np.ndarray, rejected: np.ndarray, precision: float = 0.95, support: int = 12, depth: int = 4, most: int = 24, seed: int = 5) -> DecisionList:
+    """Sequential covering: grow on two thirds, prune on one third, stop at a rule below ``precision`` or ``support``."""
     rules: list = []
     if not len(x) or rejected.all() or not rejected.any():
         return DecisionList(())
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, 129), method="lower")) for f in range(x.shape[1])]
     left = np.ones(len(x), bool)
     rng = np.random.default_rng(seed)
-    while len(rules) < most and (left & rejected).sum() >= 3:
+    while len(rules) < most and (left & rejected).sum() >= support:
         grow = left & (rng.random(len(x)) < 2 / 3)
         hold = left & ~grow
         if not (grow & rejected).any():
@@ -187,7 +194,7 @@ def learn_list(x: np.ndarray, rejected: np.ndarray, precision: float = 0.9, dept
         hit = _covers(x, rule) & left
         p, n = int((hit & rejected).sum()), int((hit & ~rejected).sum())
         held = _covers(x[hold], rule)
-        if p < 3 or p / (p + n) < precision or (held.any() and rejected[hold][held].mean() < precision):
+        if p < support or p / (p + n) < precision or held.sum() < support // 4 or rejected[hold][held].mean() < precision:
             break
         rules.append(tuple(rule))
         left &= ~hit

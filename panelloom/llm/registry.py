@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import chat, decontam, mixing, quality, sharding, toxicity
+from panelloom.llm import chat, decontam, mixing, pii, quality, sharding, toxicity, warc
 from panelloom.llm.common import table
 
 
+def op1_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op2_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` against all of ``benchmark``: one row per leaked pair."""
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -36,17 +40,24 @@ def op8_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``pages`` written as archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_boosted_pii": op1_boosted_pii,
     "op2_string_tiling": op2_string_tiling,
     "op4_preference_format": op4_preference_format,
     "op5_ratio_ngrams": op5_ratio_ngrams,
     "op7_virtual_slots": op7_virtual_slots,
     "op8_decision_list": op8_decision_list,
+    "op9_warc_transactions": op9_warc_transactions,
     "op10_source_mix": op10_source_mix,
 }
 
-SQL = {"op4_preference_format": chat.CHAT_SQL, "op10_source_mix": mixing.MIX_SQL}
+SQL = {"op4_preference_format": chat.CHAT_SQL, "op9_warc_transactions": warc.WARC_SQL, "op10_source_mix": mixing.MIX_SQL}
