@@ -187,7 +187,8 @@ def training_rows(n: int = TRAINING_ROWS, seed: int = 11) -> list[tuple[str, int
     def card(valid: bool) -> str:
         body = num(15)
         d = next(c for c in "0123456789" if luhn(body + c) == valid)
-        body, sep = body + d, pick(".", "/", "_", "  ", " - ")
+        # strict patterns already take valid numbers with single spaces, dashes or nothing between groups
+        body, sep = body + d, pick(".", "/", "_", "  ") if valid else pick("", "", " ", "-", ".", "/")
         return sep.join(body[k : k + 4] for k in range(0, 16, 4))
 
     good = (
@@ -200,6 +201,8 @@ def training_rows(n: int = TRAINING_ROWS, seed: int = 11) -> list[tuple[str, int
     bad = (
         lambda: (pick("version ", "release ", "section ", "build "), ".".join(str(rng.integers(0, 400)) for _ in range(4)) + "5"),
         lambda: (pick("order ", "invoice ", "ref ", "serial ", "ticket ", "", "item "), card(False)),
+        lambda: (pick("", "", "card ", "paid ", "call ", "mail "), card(False)),
+        lambda: (pick("", "id ", "key "), num(rng.integers(9, 20))),
         lambda: (pick("on ", "date ", "since ", "time "), pick(f"20{num(2)}-{num(2)}-{num(2)}", f"{num(2)}.{num(2)}.20{num(2)}", f"{num(2)}/{num(2)}/19{num(2)}")),
         lambda: (pick("order ", "isbn ", "part no. ", "id ", "ref "), pick(f"{num(3)}-{num(3)}-{num(4)}", f"978-{num(1)}{num(2)}-{num(5)}-{num(2)}", f"{num(4)} {num(4)}", f"{num(3)} {num(3)} {num(3)}")),
         lambda: (pick("total ", "scores ", "price ", "rows ", ""), " ".join(num(rng.integers(2, 5)) for _ in range(rng.integers(3, 6)))),
