@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import chat, decontam, mixing, pii, quality, sharding, toxicity, warc
+from panelloom.llm import chat, decontam, mixing, neardup, pii, quality, sharding, toxicity, warc
 from panelloom.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op5_ratio_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
 def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op2_string_tiling": op2_string_tiling,
     "op4_preference_format": op4_preference_format,
     "op5_ratio_ngrams": op5_ratio_ngrams,
+    "op6_setsketch": op6_setsketch,
     "op7_virtual_slots": op7_virtual_slots,
     "op8_decision_list": op8_decision_list,
     "op9_warc_transactions": op9_warc_transactions,
