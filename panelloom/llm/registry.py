@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import chat, decontam, mixing, neardup, pii, quality, sharding, toxicity, warc
+from panelloom.llm import chat, decontam, mixing, neardup, pii, quality, sharding, suffixdedup, toxicity, warc
 from panelloom.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.remove_repeats(table(spark, sf_dir, "documents"), keep="none", with_bytes=False)
+
+
 def op4_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``conversations``: prompt, completions and masks as text, one row per conversation."""
     pairs = chat.format_pairs(chat.pairs_from_conversations(table(spark, sf_dir, "conversations")))
@@ -56,6 +60,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_boosted_pii": op1_boosted_pii,
     "op2_string_tiling": op2_string_tiling,
+    "op3_previous_factors": op3_previous_factors,
     "op4_preference_format": op4_preference_format,
     "op5_ratio_ngrams": op5_ratio_ngrams,
     "op6_setsketch": op6_setsketch,
