@@ -8,11 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelloom.session import ship
+
 ROW = "__row"
 
 
 def bound_batches(spark: SparkSession, size: str = "8m") -> None:
-    """Bound what one Arrow batch to a Python worker holds, so that long texts do not pile up."""
+    """Make ready for Python workers: bound an Arrow batch, so that long texts do not pile up, and ship the package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import scratch_root
+from panelloom.llm.common import bound_batches, scratch_root
 
 MIN_REVISIT = 100
 RECORD = (
@@ -149,6 +149,7 @@ def read_records(spark: SparkSession, path: str, payload: bool = True) -> DataFr
                 if rows:
                     yield pd.DataFrame(rows, columns=columns).astype({"payload_bytes": "Int64"})
 
+    bound_batches(spark)
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parsed, RECORD)
 
 
