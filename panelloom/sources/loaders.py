@@ -39,7 +39,7 @@ def synthetic_prices(spark: SparkSession, n_names: int = 20, n_days: int = 750,
 def synthetic_prices_at_scale(spark: SparkSession, n_names: int, n_days: int, seed: int = 42, annual_drift: float = 0.05, annual_vol: float = 0.2, start_price: float = 100.0) -> DataFrame:
     """The same process drawn in tasks, one group per asset; dates are consecutive days."""
     step = 1 / 252
-    days = spark.range(n_names).withColumnRenamed("id", "name").select("name", F.explode(F.sequence(F.lit(0), F.lit(n_days - 1))).cast("long").alias("pos"))
+    days = spark.range(n_names).withColumnRenamed("id", "name").select("name", F.explode(F.sequence(F.lit(0), F.lit(n_days - 1))).alias("pos")).withColumn("pos", F.col("pos").cast("long"))
     u = [(F.pmod(F.xxhash64("name", "pos", F.lit(seed + k)), F.lit(2**52)).cast("double") + 0.5) / float(2**52) for k in (0, 1)]
     normal = F.sqrt(-2 * F.ln(u[0])) * F.cos(2 * np.pi * u[1])
     days = days.withColumn("__r", (annual_drift - annual_vol**2 / 2) * step + annual_vol * float(np.sqrt(step)) * normal)
