@@ -1,7 +1,7 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 Every n-gram of 3 to 5 characters of the lower-cased text is hashed to a bucket; a document is the set of
-its buckets.  Document counts per bucket and class give the log-count ratios, logistic regression is
+its buckets, and of marks for those that it repeats often for its length.  Document counts per bucket and class give the log-count ratios, logistic regression is
 fitted on the ratios of the buckets present, and the product of weight and ratio is one number per bucket.
 Scoring sums these numbers over a text's buckets, in tasks, without a shuffle; the model is an array of a
 fixed size, whatever the corpus.
@@ -28,13 +28,15 @@ from panelloom.llm.kernels import U
 
 BUCKETS = 1 << 20
 ORDERS = (3, 4, 5)
-MAX_ROWS = 4000
+MAX_ROWS = 10_000
 #: Buckets with a part in the fit: the largest ratios, weighted by how many documents have them.
 MAX_FEATURES = 20_000
+#: Occurrences per 1000 characters from which a bucket is marked as frequent, and the L2 penalty of the fit.
+FREQUENT, REGULAR = 1.5, 1e-2
 
 
-def buckets(text: str, stamp: np.ndarray) -> np.ndarray:
-    """Distinct buckets of a text; ``stamp`` is scratch space of BUCKETS int32."""
+def buckets(text: str) -> np.ndarray:
+    """Distinct features of a text: its buckets, and BUCKETS more for each that is FREQUENT and seen twice or more."""
     chars = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
     h, found = chars.copy(), []
     for n in range(2, max(ORDERS) + 1):
@@ -42,18 +44,18 @@ def buckets(text: str, stamp: np.ndarray) -> np.ndarray:
             break
         h = h[: len(chars) - n + 1] * U(0x100000001B3) + chars[n - 1 :]
         if n in ORDERS:
-            found.append(((h + U(n)) * U(0x9E3779B97F4A7C15)) >> U(44))
+            found.append((((h + U(n)) * U(0x9E3779B97F4A7C15)) >> U(64 - 20)).astype(np.int32))
     if not found:
-        return np.empty(0, np.int64)
-    at = np.concatenate(found).astype(np.int64)
-    place = np.arange(len(at), dtype=np.int32)
-    stamp[at] = place
-    return at[stamp[at] == place]
+        return np.empty(0, np.int32)
+    at = np.sort(np.concatenate(found))
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    counts = np.diff(np.append(first, len(at)))
+    often = first[(counts >= 2) & (counts * 1000 >= FREQUENT * len(chars))]
+    return np.concatenate([at[first], at[often] + np.int32(BUCKETS)])
 
 
 def _bucket_sets(text: pd.Series) -> pd.Series:
-    stamp = np.zeros(BUCKETS, np.int32)
-    return pd.Series([buckets(t, stamp).astype(np.int32) for t in text.fillna("")], dtype=object)
+    return pd.Series([buckets(t) for t in text.fillna("")], dtype=object)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -67,8 +69,7 @@ class Model:
         self.values, self.intercept = values, intercept
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        stamp = np.zeros(BUCKETS, np.int32)
-        z = np.array([self.values[buckets(t, stamp)].sum(dtype=np.float64) for t in texts]) + self.intercept
+        z = np.array([self.values[buckets(t)].sum(dtype=np.float64) for t in texts]) + self.intercept
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
@@ -85,7 +86,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, smooth: fl
     bound_batches(docs.sparkSession)
     sample = training_sample(docs, labels, max_rows).persist()
     n, positive = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
-    values = np.zeros(BUCKETS, np.float32)
+    values = np.zeros(2 * BUCKETS, np.float32)
     if not 0 < positive < n:
         share = positive / n if n else 0.0
         sample.unpersist()
@@ -95,7 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, smooth: fl
     ratio = F.log(smoothed[0] / smoothed[1])
     top = per.filter("all >= 4").select("bucket", ratio.alias("ratio"), (F.abs(ratio) * F.sqrt("all")).alias("worth"))
     top = top.orderBy(F.desc("worth"), "bucket").limit(MAX_FEATURES).toPandas()  # bounded by MAX_FEATURES
-    place = np.full(BUCKETS, -1, np.int32)
+    place = np.full(2 * BUCKETS, -1, np.int32)
     place[top["bucket"]] = np.arange(len(top))
     shared = docs.sparkSession.sparkContext.broadcast((place, top["ratio"].to_numpy()))
 
@@ -106,8 +107,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, smooth: fl
         at = at[at >= 0]
         return Vectors.sparse(len(ratios), at.tolist(), ratios[at].tolist())
 
-    rows = sample.select(F.col("y").alias("label"), scaled("buckets").alias("features"))
-    model = LogisticRegression(maxIter=60, regParam=3e-3, standardization=False).fit(rows)
+    # The rarer class weighs more, by the root of the imbalance: half-way to equal classes.
+    rarer = ((n - positive) / positive) ** 0.5
+    rows = sample.select(F.col("y").alias("label"), F.when(F.col("y") > 0, rarer).otherwise(1.0).alias("weight"), scaled("buckets").alias("features"))
+    model = LogisticRegression(maxIter=60, regParam=REGULAR, standardization=False, weightCol="weight").fit(rows)
     values[top["bucket"]] = model.coefficients.toArray() * top["ratio"].to_numpy()
     sample.unpersist()
     return Model(values, float(model.intercept))
