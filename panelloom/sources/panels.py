@@ -13,12 +13,12 @@ SMOOTH = 28
 def dense_panel(rows: DataFrame, asset: Column, ts: Column, value: Column) -> DataFrame:
     """asset, ts, pos, price: the mean value of each cell, NULL where an asset has none on a date.
 
-    Dates and assets are crossed to a spine, so that lags by row are lags by date; the spine joins the
-    cells, which are already aggregated.
+    Dates and assets are crossed to a spine, so that lags by row are lags by date; the calendar, which does
+    not grow with the assets, is broadcast.  The spine joins the cells, which are already aggregated.
     """
     cells = rows.groupBy(asset.alias("asset"), ts.alias("ts")).agg(F.avg(value).alias("price"))
     dates = cells.select("ts").distinct().withColumn("pos", F.row_number().over(Window.orderBy("ts")).cast("long") - 1)
-    spine = dates.crossJoin(cells.select("asset").distinct())
+    spine = cells.select("asset").distinct().crossJoin(F.broadcast(dates))
     return spine.join(cells, ["asset", "ts"], "left").select("asset", "ts", "pos", "price")
 
 
