@@ -7,9 +7,11 @@ alike two sets are.  Bands of registers propose pairs; the joint likelihood of t
 estimates the similarity of a pair; pairs that may reach the threshold are verified on their full sets.
 
 How it stays linear where groups are large: documents with equal sets are one node.  In a bucket only
-pairs with its hub are proposed at first; every node verifies its best pair, and the links give components.
-Only pairs of nodes that share a bucket but not a component are looked at again, all of them, so no link
-between components is lost; pairs inside a component could not change the result and are not emitted.
+pairs with its hub are proposed; in a few rounds every node verifies its likeliest pair that leads out of
+its component.  Pairs inside a component could not change the result and are not emitted.  Buckets that
+still hold several components are settled exactly: among their nodes all pairs across components that could
+reach the threshold are found by prefix filtering on rare shingles, estimated and verified, so no link
+between components is lost and members that only share a bucket are not paired.
 
 With 42 bands of 6 registers a pair at similarity 0.8 shares a bucket with probability above 0.999998.
 
@@ -22,10 +24,11 @@ is none; an empty table gives an empty result; only doc_id and text are read.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.llm.common import ROW, bound_batches, packed, written
@@ -150,25 +153,86 @@ def band_keys(sketch: Column) -> Column:
     return F.array(*[F.xxhash64(F.lit(k), F.substring(sketch, k * ROWS + 1, ROWS)) for k in range(BANDS)])
 
 
+#: Pairs per task.
+PAIRS_ESTIMATED, PAIRS_VERIFIED = 20_000, 1_000
+
+
 class _Pairs:
-    """Estimates and verifies pairs (a, b) of nodes."""
+    """Estimates and verifies pairs (a, b) of nodes.
+
+    Pairs are written and counted first, so that tasks get a set number of pairs each however they were dealt.
+    """
 
     def __init__(self, nodes: DataFrame, texts: DataFrame, width: int, threshold: float):
         self.nodes, self.texts, self.width, self.threshold = nodes, texts, width, threshold
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """(a, b, estimate) of the pairs that may reach the threshold."""
+        pairs = written(pairs.select("a", "b"), "pairs")
+        tasks = 1 + pairs.count() // PAIRS_ESTIMATED
         side = {s: self.nodes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}")) for s in "ab"}
         met = pairs.join(side["b"], "b").join(side["a"], "a")
-        met = met.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * round(self.threshold * 100))
+        met = met.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * round(self.threshold * 100)).coalesce(tasks)
         estimate = F.pandas_udf(_estimated, "double").asNondeterministic()
-        return met.select("a", "b", estimate("sa", "sb", "na", "nb").alias("estimate")).filter(F.col("estimate") >= self.threshold - SLACK)
+        return written(met.select("a", "b", estimate("sa", "sb", "na", "nb").alias("estimate")).filter(F.col("estimate") >= self.threshold - SLACK), "likely")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """(a, b, linked) by the full sets."""
-        met = pairs.select("a", "b").join(self.texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        met = met.join(self.texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-        return met.select("a", "b", _verified(self.width, self.threshold)("ta", "tb").alias("linked"))
+        pairs = written(pairs.select("a", "b"), "pairs")
+        tasks = 1 + pairs.count() // PAIRS_VERIFIED
+        met = pairs.join(self.texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        met = met.join(self.texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").coalesce(tasks)
+        return written(met.select("a", "b", _verified(self.width, self.threshold)("ta", "tb").alias("linked")), "links")
+
+
+def _shingled(width: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in range(0, len(batch), 256):
+                part = batch.iloc[k : k + 256]
+                sets = shingle_sets([t.encode("utf-8", "replace") for t in part["text"]], width)
+                sizes = [len(s) for s in sets]
+                yield pd.DataFrame({"node": np.repeat(part["node"].to_numpy(), sizes), "n": np.repeat(sizes, sizes), "shingle": np.concatenate(sets).view(np.int64)})
+
+    return run
+
+
+def prefix_pairs(texts: DataFrame, components_of: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Pairs (a, b) of ``texts`` in different components that could reach ``threshold``: exact, by prefix filtering.
+
+    With shingles in order of rarity, alike sets share one of the first n - ceil(threshold * n) + 1, at places
+    that leave enough to come.  Shingles of one text only head the order and are never joined, so members of a
+    large group with own words of their own meet nobody.
+    """
+    hundredths = round(threshold * 100)
+    rows = texts.select("node", "text").mapInPandas(_shingled(width), "node long, n long, shingle long")
+    rows = written(rows, "shingles")
+    common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    rows = rows.join(common, "shingle")
+    within = Window.partitionBy("node")
+    rows = rows.withColumn("place", F.row_number().over(within.orderBy("c", "shingle")) + F.col("n") - F.count(F.lit(1)).over(within))
+    rows = rows.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * hundredths / 100) + 1)
+    rows = rows.join(components_of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = written(rows.select("node", "n", "shingle", "place", "component"), "prefixes")
+    side = {s: rows.select("shingle", F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("place").alias(f"p{s}"), F.col("component").alias(f"c{s}")) for s in "ab"}
+    met = side["a"].join(side["b"], "shingle").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")))
+    met = met.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * hundredths)
+    to_come = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1
+    return met.filter(to_come * (100 + hundredths) >= (F.col("na") + F.col("nb")) * hundredths).select("a", "b").distinct()
+
+
+def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose nodes are in different components."""
+    side = {s: found.select(F.col("node").alias(s), F.col("component").alias(f"c{s}")) for s in "ab"}
+    met = pairs.join(side["a"], "a", "left").join(side["b"], "b", "left")
+    return met.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """For every node its likeliest pair."""
+    both = pairs.select("a", "b", "estimate").union(pairs.select("b", "a", "estimate"))
+    best = both.groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
@@ -190,24 +254,23 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
     texts = written(own.join(in_buckets, same).select("node", "text").dropDuplicates(["node"]), "texts")
     pairs = _Pairs(nodes, texts, width, threshold)
 
-    star = written(pairs.likely(members.filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()), "star")
-    best = star.groupBy("b").agg(F.max(F.struct("estimate", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    first = written(pairs.linked(best), "links")
-    found = components(first.filter("linked"))
+    # The hub is the least node of its bucket, so a < b here as in every table of pairs below.
+    star = pairs.likely(members.filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    verified = pairs.linked(_best(star))
+    for _ in range(2):
+        found = components(verified.filter("linked"))
+        verified = verified.union(pairs.linked(_best(_across(star, found).join(verified, ["a", "b"], "left_anti"))))
 
+    found = written(components(verified.filter("linked")), "found")
     labelled = members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key")
-    open_members = labelled.join(mixed, "key")
-    open_members = written(open_members.join(nodes.select("node", "n"), "node"), "open")
-    left = open_members.select("key", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    right = open_members.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    near_size = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * round(threshold * 100)
-    rest = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near_size).select("a", "b").distinct()
-    done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = pairs.linked(pairs.likely(rest.join(done, ["a", "b"], "left_anti")))
-    links = written(first.filter("linked").select("a", "b").union(second.filter("linked").select("a", "b")), "links")
-
-    found = components(links)
+    open_nodes = labelled.join(mixed, "key").select("node").distinct()
+    rest = pairs.likely(prefix_pairs(texts.join(open_nodes, "node"), found, width, threshold).join(verified, ["a", "b"], "left_anti"))
+    verified = verified.union(pairs.linked(_best(rest)))
+    last = _across(rest, components(verified.filter("linked"))).join(verified, ["a", "b"], "left_anti")
+    verified = verified.union(pairs.linked(last))
+
+    found = components(verified.filter("linked"))
     named = nodes.select("node", "first_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     by_node = named.select("node", "component").join(names, "component").select(F.col("node").alias("of"), "component_id")
