@@ -153,23 +153,28 @@ def band_keys(sketch: Column) -> Column:
     return F.array(*[F.xxhash64(F.lit(k), F.substring(sketch, k * ROWS + 1, ROWS)) for k in range(BANDS)])
 
 
-#: Pairs per task.
+#: Hubs per node that are tried before the exact join.
+HUBS = 8
+#: Pairs per task, and rows of the tables that they meet.
 PAIRS_ESTIMATED, PAIRS_VERIFIED = 20_000, 1_000
+NODES_MET, TEXTS_MET = 50_000, 5_000
 
 
 class _Pairs:
     """Estimates and verifies pairs (a, b) of nodes.
 
-    Pairs are written and counted first, so that tasks get a set number of pairs each however they were dealt.
+    Pairs are written and counted first, so that tasks get a set number of pairs each however they were dealt,
+    and no task meets more than a set number of nodes or texts.
     """
 
     def __init__(self, nodes: DataFrame, texts: DataFrame, width: int, threshold: float):
         self.nodes, self.texts, self.width, self.threshold = nodes, texts, width, threshold
+        self.least_estimating, self.least_verifying = 1 + nodes.count() // NODES_MET, 1 + texts.count() // TEXTS_MET
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """(a, b, estimate) of the pairs that may reach the threshold."""
         pairs = written(pairs.select("a", "b"), "pairs")
-        tasks = 1 + pairs.count() // PAIRS_ESTIMATED
+        tasks = max(self.least_estimating, 1 + pairs.count() // PAIRS_ESTIMATED)
         side = {s: self.nodes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}")) for s in "ab"}
         met = pairs.join(side["b"], "b").join(side["a"], "a")
         met = met.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * round(self.threshold * 100)).coalesce(tasks)
@@ -179,7 +184,7 @@ class _Pairs:
     def linked(self, pairs: DataFrame) -> DataFrame:
         """(a, b, linked) by the full sets."""
         pairs = written(pairs.select("a", "b"), "pairs")
-        tasks = 1 + pairs.count() // PAIRS_VERIFIED
+        tasks = max(self.least_verifying, 1 + pairs.count() // PAIRS_VERIFIED)
         met = pairs.join(self.texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
         met = met.join(self.texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").coalesce(tasks)
         return written(met.select("a", "b", _verified(self.width, self.threshold)("ta", "tb").alias("linked")), "links")
@@ -256,6 +261,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
 
     # The hub is the least node of its bucket, so a < b here as in every table of pairs below.
     star = pairs.likely(members.filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    # A few of a node's likely hubs are enough to join most of a large group; what they miss is found below.
+    few = star.groupBy("b", F.pmod(F.xxhash64("a"), F.lit(HUBS))).agg(F.max(F.struct("estimate", "a")).alias("m"))
+    star = written(few.select("m.a", "b", "m.estimate"), "star")
     verified = pairs.linked(_best(star))
     for _ in range(2):
         found = components(verified.filter("linked"))
