@@ -15,12 +15,14 @@ from panelloom.session import ship
 
 
 @lru_cache(maxsize=64)
-def kernel(d: float, threshold: float = 1e-3, most: int = 1000) -> tuple[float, ...]:
-    """Binomial weights of order ``d`` down to ``threshold``, at most ``most``."""
+def kernel(d: float, threshold: float = 1e-4, most: int | None = None) -> tuple[float, ...]:
+    """Binomial weights of order ``d`` down to ``threshold``, at most ``most``, the length of the series."""
     if d < 0:
         raise ValueError("d must not be negative")
+    if most is None and threshold <= 0:
+        raise ValueError("weights without a threshold need a largest number")
     out = [1.0]
-    while len(out) < most:
+    while most is None or len(out) < most:
         w = out[-1] * (len(out) - 1 - d) / len(out)
         if abs(w) < threshold:
             break
@@ -28,15 +30,20 @@ def kernel(d: float, threshold: float = 1e-3, most: int = 1000) -> tuple[float,
     return tuple(out)
 
 
-def fracdiff(panel: DataFrame, d: float, threshold: float = 1e-3, most: int = 1000, mode: str = "causal") -> DataFrame:
+def fracdiff(panel: DataFrame, d: float, threshold: float = 1e-4, most: int | None = None, mode: str = "causal") -> DataFrame:
     """Adds value: the differenced price of each asset.
 
-    ``causal`` weighs the past, NULL until the kernel is full.  ``forward`` weighs the rows ahead, with zeros
+    The kernel is cut at ``threshold`` and at ``most`` weights, by default the rows of an asset, which are
+    counted first (every asset of a panel has as many).  ``causal`` weighs the past, NULL until the kernel is full.  ``forward`` weighs the rows ahead, with zeros
     beyond the end, as a convolution read off too late would give.
     """
-    weights = list(kernel(d, threshold, most))
+    if d < 0:
+        raise ValueError("d must not be negative")
     if d == 0:
         return panel.withColumn("value", F.col("price"))
+    if most is None:
+        most = panel.groupBy("asset").count().agg(F.max("count")).first()[0] or 1
+    weights = list(kernel(d, threshold, most))
     if mode == "causal":
         return panel.withColumn("value", convolved(F.col("price"), weights, along()))
     frame = along().rowsBetween(0, len(weights) - 1)
@@ -70,7 +77,7 @@ def _adf(x: np.ndarray) -> float:
 CRITICAL = (-2.86154, -2.8903, -4.234)
 
 
-def least_order(panel: DataFrame, candidates: tuple[float, ...] = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0), threshold: float = 1e-3) -> DataFrame:
+def least_order(panel: DataFrame, candidates: tuple[float, ...] = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0), threshold: float = 1e-4) -> DataFrame:
     """(asset, d, stationary): the first order whose differenced series rejects a unit root at 5 per cent.
 
     Series under 50 values are passed over; without a success, the largest order and ``stationary`` false.

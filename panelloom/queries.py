@@ -275,7 +275,7 @@ def deflated_sharpe_z(spark, sf_dir):
 
 @query("bootstrap_ci")
 def bootstrap_ci(spark, sf_dir):
-    return rounded(metrics.block_bootstrap(bt.backtest(panels.line_smooth(spark, sf_dir)).daily, draws=200))
+    return rounded(metrics.block_bootstrap(bt.backtest(panels.line_smooth(spark, sf_dir)).daily))
 
 
 # --- risk model and blends
@@ -433,12 +433,12 @@ def features(spark, sf_dir):
 
 @query("fracdiff", o.render(f"SELECT asset, {o.day()} AS day, {o.r6('value / price')} AS value FROM fd", "fd"))
 def fracdiff_values(spark, sf_dir):
-    return cells(fracdiff.fracdiff(panels.line_smooth(spark, sf_dir), 0.4, 1e-2).withColumn("value", F.col("value") / F.col("price")), "value")
+    return cells(fracdiff.fracdiff(panels.line_smooth(spark, sf_dir), 0.4).withColumn("value", F.col("value") / F.col("price")), "value")
 
 
 @query("min_order")
 def min_order(spark, sf_dir):
-    return fracdiff.least_order(panels.smoothed(panels.orders_weekly(spark, sf_dir)), threshold=1e-2)
+    return fracdiff.least_order(panels.line_smooth(spark, sf_dir))
 
 
 @query("meta_model")

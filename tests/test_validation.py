@@ -120,6 +120,18 @@ def test_fractional_differencing(spark):
         fracdiff.kernel(-0.1)
 
 
+def test_kernel_keeps_long_memory(spark):
+    k = fracdiff.kernel(0.4)
+    assert len(k) == 282 and abs(sum(k) - 0.070) < 1e-3
+    assert len(fracdiff.kernel(0.1, 1e-6)) > 1000
+    w = walk(300, 1, 9)
+    want = sum(c * w.shift(j) for j, c in enumerate(k))
+    same(wide_of(fracdiff.fracdiff(panel(spark, w), 0.4), "value"), want)
+    short = sum(c * w[:90].shift(j) for j, c in enumerate(fracdiff.kernel(0.4, most=90)))
+    assert short.notna().sum().sum() == 1
+    same(wide_of(fracdiff.fracdiff(panel(spark, w[:90]), 0.4), "value"), short)
+
+
 def test_least_order(spark):
     rng = np.random.default_rng(3)
     w = walk(400, 2)
