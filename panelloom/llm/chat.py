@@ -90,11 +90,12 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, key: str = "conv_id
     return format_pairs(both.select("pair_id", *[F.coalesce(s, none).alias(s) for s in ("chosen", "rejected")]))
 
 
-def pairs_from_conversations(conversations: DataFrame) -> DataFrame:
+def pairs_from_conversations(conversations: DataFrame, whole: bool = False) -> DataFrame:
     """A pair per conversation where no preferences are given.
 
-    Chosen is the conversation up to its last assistant turn; in rejected that turn carries the last
-    reply of the neighbouring conversation (ids 2k and 2k+1 are neighbours; empty if there is none).
+    Chosen is the conversation; in rejected its last assistant turn carries the last reply of the neighbouring
+    conversation (ids 2k and 2k+1 are neighbours; empty if there is none).  With ``whole`` the turns after
+    that reply follow on both sides, without loss, as none of them is an assistant's; else they are left out.
     """
     convs = gather_turns(conversations)
     places = F.when(F.size("turns") > 0, F.sequence(F.lit(1), F.size("turns"))).otherwise(F.array().cast("array<int>"))
@@ -104,14 +105,14 @@ def pairs_from_conversations(conversations: DataFrame) -> DataFrame:
         F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.coalesce(F.element_at("turns", F.col("last"))["text"], F.lit("")).alias("reply")
     )
     convs = convs.join(replies, "conv_id", "left")
-    head = F.slice("turns", F.lit(1), F.coalesce(F.col("last"), F.size("turns")))
+    kept = F.col("turns") if whole else F.slice("turns", F.lit(1), F.coalesce(F.col("last"), F.size("turns")))
     swapped = F.transform(
-        head,
+        kept,
         lambda t, i: F.struct(
             t["turn"].alias("turn"), t["role"].alias("role"), F.when(i + 1 == F.col("last"), F.coalesce("reply", F.lit(""))).otherwise(t["text"]).alias("text")
         ),
     )
-    return convs.select(F.col("conv_id").alias("pair_id"), head.alias("chosen"), swapped.alias("rejected"))
+    return convs.select(F.col("conv_id").alias("pair_id"), kept.alias("chosen"), swapped.alias("rejected"))
 
 
 CHAT_SQL = r"""

@@ -24,7 +24,7 @@ def op3_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``conversations``: prompt, completions and masks as text, one row per conversation."""
-    pairs = chat.format_pairs(chat.pairs_from_conversations(table(spark, sf_dir, "conversations")))
+    pairs = chat.format_pairs(chat.pairs_from_conversations(table(spark, sf_dir, "conversations"), whole=True))
 
     def runs(mask: str):
         return F.array_join(F.transform(mask, lambda m: F.concat_ws(":", m["length"].cast("string"), m["loss"].cast("int").cast("string"))), ",")

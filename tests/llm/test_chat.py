@@ -46,6 +46,31 @@ def test_edges(spark):
     assert chat.format_pairs(chat.pairs_from_conversations(turns.limit(0))).count() == 0
 
 
+def test_turns_after_the_last_reply_stay(spark):
+    first = [("user", "a"), ("assistant", "b"), ("user", "thanks"), ("tool", None)]
+    second = [("user", "c"), ("assistant", "d"), ("assistant", "e")]
+    same = [("user", "c"), ("assistant", "e"), ("user", "bye")]
+    rows = [(c, k, r, t) for c, ts in ((4, first), (5, second), (6, same), (7, same)) for k, (r, t) in enumerate(ts)]
+    got = {r.pair_id: r for r in chat.format_pairs(chat.pairs_from_conversations(spark.createDataFrame(rows, TURNS), whole=True)).collect()}
+    assert got[4].n_prompt_turns == 1 and got[4].prompt == rendered(first[:1])
+    assert got[4].chosen == rendered(first[1:]) and got[4].rejected == rendered([("assistant", "e"), *first[2:]])
+    assert trained(got[4].chosen, got[4].chosen_mask) == ["b<|im_end|>\n"]
+    assert trained(got[4].rejected, got[4].rejected_mask) == ["e<|im_end|>\n"]
+    assert got[5].n_prompt_turns == 2 and got[5].rejected == rendered([("assistant", "b")])
+    assert got[6].prompt == rendered(same) and got[6].chosen == got[6].rejected == ""
+
+
+def test_query_keeps_every_turn(spark, tmp_path):
+    from panelloom.llm.registry import op4_preference_format
+
+    rows = [(4, 0, "user", "a"), (4, 1, "assistant", "b"), (4, 2, "user", "thanks"), (5, 0, "assistant", "c")]
+    spark.createDataFrame(rows, TURNS).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.pair_id: r for r in op4_preference_format(spark, str(tmp_path)).collect()}
+    assert got[4].prompt + got[4].chosen == rendered([r[2:] for r in rows[:3]])
+    assert got[4].rejected == rendered([("assistant", "c"), ("user", "thanks")])
+    assert got[4].rejected_mask.endswith(":1,17:0,17:0")
+
+
 def test_missing_side(spark):
     some = spark.createDataFrame([(1, 0, "user", "a")], TURNS)
     (row,) = chat.preference_pairs(some, some.limit(0)).collect()
