@@ -240,14 +240,15 @@ def _best(pairs: DataFrame) -> DataFrame:
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept."""
+def _grouped(docs: DataFrame, width: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, th, n, node, sketch), one per document, and nodes with their component, least id and first rows."""
     bound_batches(docs.sparkSession)
     own = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
     rows = written(own.select("doc_id", F.xxhash64("text").alias("th"), _sketched(width)("text").alias("s")).select("doc_id", "th", "s.*"), "sketch")
     nodes = rows.filter("n > 0").groupBy("node").agg(
-        F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "th")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
-    )
+        F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "th")).alias("rep"),
+        F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "th"))).alias("named_rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
+    )
     nodes = written(nodes, "nodes")
 
     bands = nodes.select("node", F.explode(band_keys(F.col("sketch"))).alias("key"))
@@ -279,7 +280,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
     verified = verified.union(pairs.linked(last))
 
     found = components(verified.filter("linked"))
-    named = nodes.select("node", "first_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    firsts = nodes.select("node", "first_id", F.coalesce("named_rep", "rep").alias("first_row"))
+    return rows, firsts.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, kept."""
+    rows, named = _grouped(docs, width, threshold)
     names = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     by_node = named.select("node", "component").join(names, "component").select(F.col("node").alias("of"), "component_id")
     out = rows.join(by_node, (F.col("n") > 0) & (F.col("node") == F.col("of")), "left")
@@ -287,8 +294,28 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRE
     return out.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component, that with the least id, with the input's columns; rows without an id stay."""
-    gone = near_duplicates(docs, **options).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("gone")).distinct()
-    rows = packed(docs)
-    return rows.join(gone, F.col(ROW)["doc_id"] == F.col("gone"), "left_anti").select(f"{ROW}.*")
+def keep_first(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, drop_unnamed: bool = False) -> DataFrame:
+    """One row of each component, with the input's columns: least id, then least text hash, then one of the equal rows.
+
+    Rows without an id stay, unless ``drop_unnamed`` counts them as members too, after all ids; rows with an
+    empty set are linked with nothing and stay.  Rows are told apart by id and text hash, and a key belongs to
+    one component, so the first rows of the components say for every key whether it goes.
+    """
+    rows, named = _grouped(docs, width, threshold)
+    # A struct that begins with "has no id" puts those rows last.
+    first = F.struct(F.col("first_row.doc_id").isNull().alias("x"), F.col("first_row.doc_id").alias("id"), F.col("first_row.th").alias("th"))
+    firsts = named.groupBy("component").agg(F.min(first).alias("m")).select(F.col("m.id").alias("first_id"), F.col("m.th").alias("first_th"))
+    members = rows.filter("n > 0") if drop_unnamed else rows.filter("n > 0 AND doc_id IS NOT NULL")
+    keys = members.groupBy(F.col("doc_id").alias("key_id"), F.col("th").alias("key_th")).agg(F.count(F.lit(1)).alias("c"))
+    is_first = F.col("key_id").eqNullSafe(F.col("first_id")) & (F.col("key_th") == F.col("first_th"))
+    gone = keys.join(firsts, is_first, "left_anti").select("key_id", "key_th")
+    repeated = written(keys.filter("c > 1").join(firsts, is_first, "left_semi").select("key_id", "key_th"), "repeated")
+
+    rows = packed(docs).withColumn("th", F.xxhash64(F.col(ROW)["text"]))
+    is_key = F.col(ROW)["doc_id"].eqNullSafe(F.col("key_id")) & (F.col("th") == F.col("key_th"))
+    rows = rows.join(gone, is_key, "left_anti")
+    if repeated.isEmpty():
+        return rows.select(f"{ROW}.*")
+    # Partial aggregates leave one row per key and task, however often it is repeated.
+    once = rows.join(repeated, is_key).groupBy("key_id", "key_th").agg(F.first(ROW).alias(ROW))
+    return rows.join(repeated, is_key, "left_anti").select(f"{ROW}.*").union(once.select(f"{ROW}.*"))

@@ -84,3 +84,18 @@ def test_keep_first_and_edges(spark):
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
     assert got == {4: 2, 2: 2, 9: 2, 5: 5, 6: 6, None: 2}
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_keep_first_goes_by_row(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    base, own, alone, other = (" ".join(words(rng, 60)) for _ in range(4))
+    ids = [1, 7, 7, *[3] * 5, None, None, None, None, 8, 8, 2]
+    texts = [base, base + " end", own, *[alone] * 5, base, other, other, None, "", "", other + " end"]
+    docs = clashing(frame(spark, texts, ids))
+    kept = corpus_pipeline.near_dedup(spark, docs.repartition(3), "")
+    assert kept.columns == docs.columns
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    want = [(1, base), (7, own), (3, alone), (None, None), (8, ""), (8, ""), (2, other + " end")]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == sorted(want, key=key)
