@@ -78,7 +78,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     out = [(0, a, b) for a, b in _emails(text)] if "@" in text else []
     if not _DIGIT.search(text):
         return out
-    out += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+    out += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(p) <= 3 and int(p or "0") <= 255 for p in (q.lstrip("0") for q in m.group().split(".")))]
     for m in _CARD.finditer(text):
         d = _digits(m.group())
         if 16 <= len(d) <= 19 and luhn(d):
