@@ -55,3 +55,24 @@ def test_edges(spark):
     assert kept.columns == docs.columns and kept.count() == 1
     assert quality.quality_report(docs.limit(0), none).count() == 0
     assert quality.learn_list(np.zeros((5, 9)), np.array([True] * 5)).rules == ()
+
+
+def test_a_condition_is_the_best_of_all_thresholds():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        v, bad = np.round(rng.normal(size=60), 1), rng.random(60) < 0.4
+        best = 0.0
+        for t in np.unique(v)[:-1]:
+            for hit in (v <= t, v > t):
+                p, n = (hit & bad).sum(), (hit & ~bad).sum()
+                if p:
+                    best = max(best, p * (np.log2(p / (p + n)) - np.log2(bad.mean())))
+        found = quality._cut(v, bad, np.unique(v))
+        assert (found is None) == (best <= 1e-9) and (found is None or abs(found[0] - best) < 1e-9)
+
+
+def test_held_out_rows_are_judged_by_a_list_learned_without_them():
+    rng = np.random.default_rng(4)
+    x = rng.random((500, len(quality.FEATURES)))
+    got = quality.measured(x, x[:, 2] > 0.7)
+    assert got["rows"] == 100 and got["precision"] > 0.9 and got["recall"] > 0.9
