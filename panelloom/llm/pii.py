@@ -2,7 +2,7 @@
 
 Base spans (emails, IPv4 addresses, card numbers, phone numbers) come from strict patterns and always
 stand.  Wide generators propose further, overlapping spans: obfuscated emails and addresses, IPv6, card
-and phone numbers in other layouts.  Boosted trees score each candidate from its format and its context;
+and phone numbers in other layouts, values that are assigned to a key or password, and random-looking strings.  Boosted trees score each candidate from its format and its context;
 a threshold per kind, calibrated on held-back rows for ``precision``, selects redactions, and of
 overlapping ones the best scored stays.
 
@@ -20,7 +20,9 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,9 @@ from pyspark.sql import functions as F
 
 from panelloom.llm.common import bound_batches
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+#: Kinds that strict patterns find; the others come from generators alone.
+BASE = KINDS[:4]
 PRECISION = 0.98
 TRAINING_ROWS = 4000
 
@@ -93,6 +97,8 @@ _WIDE_EMAIL = re.compile(r"[\w.+-]{1,64}[ ]?(?:@|\(at\)|\[at\]|\{at\})[ ]?[\w-]{
 _WIDE_IP = re.compile(r"(?<![\w.])[0-9]{1,3}(?:[ ]?(?:\.|\[\.\]|\(\.\)|\[dot\])[ ]?[0-9]{1,3}){3}(?![\w])|(?<![\w:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![\w:])", re.I)
 _WIDE_CARD = re.compile(r"(?<![\w+])[0-9]{3,6}(?:[ ./_-]{0,2}[0-9]{2,6}){2,5}(?![\w])")
 _WIDE_PHONE = re.compile(r"(?<![\w+])(?:00|\()?[0-9]{2,5}\)?(?:[ ./-]{1,2}\(?[0-9]{2,5}\)?){1,5}(?![\w])")
+_ASSIGNED = re.compile(r"""(?<![^\W_])(?:token|secret|passw(?:or)?d|passwd|pwd|api[_ -]?key|(?:access|private|auth|secret)[_ -]?key|auth|bearer|credentials?)['"]?[ ]{0,3}(?:[:=]|=>|[ ]is[ ])[ ]{0,3}['"]?([^\s'"<>]{5,127}[^\s'"<>.,;:!?)])""", re.I)
+_RANDOM = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,63}[0-9])[A-Za-z0-9+/_-]{20,128}(?![A-Za-z0-9+/_-])")
 _CUES = tuple(
     re.compile(p, re.I)
     for p in (
@@ -103,12 +109,14 @@ _CUES = tuple(
         r"version|\bv\.?$|release|build|section|chapter|figure",
         r"order|invoice|ref|ticket|serial|isbn|part|item|id\b|no\.",
         r"date|year|time|score|total|amount|price|usd|eur|\$",
+        r"token|secret|passw|pwd|key|auth|bearer|credential",
+        r"commit|sha|md5|checksum|hash|etag|digest|revision|uuid|build",
     )
 )
 FORMATS = (
-    "k0", "k1", "k2", "k3", "length", "digits", "groups", "longest", "shortest", "separators", "kinds_of_separator", "luhn", "octets",
+    "k0", "k1", "k2", "k3", "k4", "length", "digits", "groups", "longest", "shortest", "separators", "kinds_of_separator", "luhn", "octets",
     "at_sign", "worded", "paren", "zeros", "hex", "dotted", "dashed", "spaced", "slashed", "before_word", "after_word", "line_start",
-    "context_digits", "tld",
+    "context_digits", "tld", "entropy", "letters", "uppers", "is_hex", "assigned", "quoted", "changes",
 )
 FEATURES = (*FORMATS, *[f"cue{k}" for k in range(len(_CUES))])
 
@@ -120,12 +128,17 @@ def described(text: str, kind: int, start: int, end: int) -> list[float]:
     sizes = [len(g) for g in groups] or [0]
     digits = "".join(groups)
     seps = [c for c in s if not c.isalnum()]
-    out = [float(kind == k) for k in range(4)]
+    out = [float(kind == k) for k in range(len(KINDS))]
     out += [len(s), len(digits), len(groups), max(sizes), min(sizes), len(seps), len(set(seps))]
     out += [13 <= len(digits) <= 19 and luhn(digits), len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups)]
     out += ["@" in s, bool(re.search(r"[(\[{](?:at|dot|\.)", s, re.I)), "(" in s, s.startswith("0"), ":" in s]
     out += [s.count("."), s.count("-"), s.count(" "), s.count("/"), left[-1:].isalnum(), right[:1].isalnum(), start == 0 or left[-1:] == "\n"]
     out += [len(re.findall("[0-9]", left + right)), bool(re.search(r"[a-z]{2,6}\Z", s, re.I))]
+    letters, each = [c for c in s if c.isalpha()], Counter(s)
+    entropy = -sum(n / len(s) * math.log2(n / len(s)) for n in each.values())
+    classes = [c.isdigit() * 2 + c.isupper() for c in s if c.isalnum()]
+    out += [entropy, len(letters), sum(c.isupper() for c in letters), bool(re.fullmatch("[0-9A-Fa-f-]+", s))]
+    out += [bool(re.search(r"(?:[:=]|\bis)[ ]{0,3}['\"]?\Z", left)), left[-1:] in "'\"" and left != "", sum(a != b for a, b in zip(classes, classes[1:], strict=False)) / len(s)]
     out += [bool(c.search(left)) for c in _CUES]
     return [float(x) for x in out]
 
@@ -136,7 +149,10 @@ def wide_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     low = "(at)" in text or "[at]" in text or "{at}" in text or "@" in text or "(AT)" in text or "[AT]" in text
     if low:
         found += [(0, *m.span()) for m in _WIDE_EMAIL.finditer(text)]
+    if "=" in text or ":" in text or " is " in text:
+        found += [(4, *m.span(1)) for m in _ASSIGNED.finditer(text)]
     if _DIGIT.search(text):
+        found += [(4, *m.span()) for m in _RANDOM.finditer(text)]
         for kind, pattern in ((1, _WIDE_IP), (2, _WIDE_CARD), (3, _WIDE_PHONE)):
             found += [(kind, *m.span()) for m in pattern.finditer(text)]
     taken = sorted((a, b) for _, a, b in base)
@@ -146,11 +162,11 @@ def wide_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         k = int(np.searchsorted(starts, b))
         return k == 0 or ends[k - 1] <= a
 
-    keep = (("card", 13, 19), ("phone", 7, 15))
+    keep = {2: (13, 19), 3: (7, 15)}
     out = []
-    for kind, a, b in found:
-        n = len(_digits(text[a:b])) if kind > 1 else 0
-        if free(a, b) and (kind < 2 or keep[kind - 2][1] <= n <= keep[kind - 2][2]):
+    for kind, a, b in dict.fromkeys(found):
+        low, high = keep.get(kind, (0, 128))
+        if free(a, b) and low <= len(_digits(text[a:b])) <= high:
             out.append((kind, a, b))
     return out
 
@@ -165,15 +181,15 @@ def _found(text: pd.Series) -> pd.DataFrame:
         b = base_spans(t)
         w = wide_spans(t, b)
         kinds = [k for k, _, _ in b]
-        counts.append([kinds.count(k) for k in range(4)])
+        counts.append([kinds.count(k) for k in range(len(BASE))])
         base.append(_label(b))
         digests.append(hashlib.sha256(base[-1].encode()).hexdigest())
         wide.append([{"kind": k, "start": a, "stop": e, "features": described(t, k, a, e)} for k, a, e in w])
-    out = pd.DataFrame(counts, columns=[f"n_{k}" for k in KINDS], dtype="int64")
+    out = pd.DataFrame(counts, columns=[f"n_{k}" for k in BASE], dtype="int64")
     return out.assign(base_sha256=digests, base=base, wide=pd.Series(wide, dtype=object))
 
 
-FOUND = f"{', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, base string, wide array<struct<kind:int,start:int,stop:int,features:array<double>>>"
+FOUND = f"{', '.join(f'n_{k} long' for k in BASE)}, base_sha256 string, base string, wide array<struct<kind:int,start:int,stop:int,features:array<double>>>"
 
 
 def training_rows(n: int = TRAINING_ROWS, seed: int = 11) -> list[tuple[str, int]]:
@@ -191,7 +207,17 @@ def training_rows(n: int = TRAINING_ROWS, seed: int = 11) -> list[tuple[str, int
         body, sep = body + d, pick(".", "/", "_", "  ") if valid else pick("", "", " ", "-", ".", "/")
         return sep.join(body[k : k + 4] for k in range(0, 16, 4))
 
+    hexed = lambda k: "".join(rng.choice(list("0123456789abcdef"), k))
+    mixed = lambda k: "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), k))
+
+    def kept_secret() -> tuple[str, str]:
+        lead = pick("token", "secret", "password", "pwd", "api_key", "api-key", "access_key", "auth", "bearer", "secret_key")
+        value = pick(hexed(pick(32, 40, 40, 64)), mixed(rng.integers(16, 48)), f"{name()}{num(3)}{pick('!', '#', '')}{mixed(3)}")
+        return f"{lead}{pick(' = ', '=', ': ', ' : ')}", pick("", "", '"', "'") + value
+
     good = (
+        kept_secret,
+        kept_secret,
         lambda: (pick("mail me at ", "contact: ", "write to ", "", "e-mail "), f"{name()}{pick('', '.')}{name()}{pick(' (at) ', '(at)', ' [at] ', ' @ ')}{name()}{pick(' (dot) ', '[dot]', '.', ' . ')}{pick('com', 'org', 'net', 'de')}"),
         lambda: (pick("server ", "host ", "login from ", "ip ", "ping "), pick("[.]", "(.)", " . ", "[dot]").join(octet() for _ in range(4))),
         lambda: (pick("host ", "address ", "", "ip "), ":".join(f"{rng.integers(0, 65536):x}" for _ in range(8))),
@@ -199,6 +225,10 @@ def training_rows(n: int = TRAINING_ROWS, seed: int = 11) -> list[tuple[str, int
         lambda: (pick("call ", "phone: ", "tel ", "mobile ", "my cell is ", "fax "), pick(f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"00{num(2)} {num(3)} {num(4)}", f"0{num(3)}/{num(6)[:5]} {num(3)}", f"{num(3)}.{num(3)}.{num(4)}")),
     )
     bad = (
+        lambda: (pick("commit ", "sha1 ", "checksum: ", "md5 = ", "etag: ", "revision ", "digest="), hexed(pick(32, 40, 64))),
+        lambda: (pick("token ", "the secret ", "password: ", "auth ", "key = "), pick("required", "unknown", "changed", "missing", "forgotten")),
+        lambda: (pick("see ", "page ", ""), "-".join(name() for _ in range(rng.integers(3, 6))) + f"-{num(2)}"),
+        lambda: (pick("uuid ", "id ", "build "), "-".join(hexed(k) for k in (8, 4, 4, 4, 12))),
         lambda: (pick("version ", "release ", "section ", "build "), ".".join(str(rng.integers(0, 400)) for _ in range(4)) + "5"),
         lambda: (pick("order ", "invoice ", "ref ", "serial ", "ticket ", "", "item "), card(False)),
         lambda: (pick("", "", "card ", "paid ", "call ", "mail "), card(False)),
@@ -208,12 +238,14 @@ def training_rows(n: int = TRAINING_ROWS, seed: int = 11) -> list[tuple[str, int
         lambda: (pick("total ", "scores ", "price ", "rows ", ""), " ".join(num(rng.integers(2, 5)) for _ in range(rng.integers(3, 6)))),
         lambda: (pick("see ", "meet ", "vote ", "look "), f"{name()} @ {name()} . {name()}"),
     )
-    filler = lambda: " ".join(name() for _ in range(rng.integers(1, 7)))
+    mark = lambda w: w.capitalize() if rng.random() < 0.1 else w + pick(*[""] * 9, ",", ".", ".\n", "!!", " |")
+    filler = lambda: " ".join(mark(name()) for _ in range(rng.integers(0, 15)))
     out = []
     for k in range(n):
         label = int(k % 2 == 0)
         lead, form = pick(*(good if label else bad))()
-        out.append((f"{filler()} {lead}{form} {filler()}.", label))
+        line = f"{filler()} {lead}{form} {filler()}."
+        out.append((line.upper() if rng.random() < 0.1 else line, label))
     return out
 
 
@@ -227,7 +259,7 @@ def train(spark: SparkSession, rows: int = TRAINING_ROWS, precision: float = PRE
     held = model.transform(x.filter("id % 3 = 0")).select("kind", "label", vector_to_array("probability")[1].alias("p")).toPandas()
     x.unpersist()
     thresholds = []
-    for kind in range(4):
+    for kind in range(len(KINDS)):
         own = held[held.kind == kind].sort_values(["p", "label"], ascending=[False, True])
         right = own.label.cumsum() / np.arange(1, len(own) + 1)
         fit = own.p[right >= precision]
@@ -252,19 +284,19 @@ def _selected(base: pd.Series, judged: pd.Series) -> pd.Series:
 
 
 def find_pii(docs: DataFrame, model=None, thresholds: list[float] | None = None) -> DataFrame:
-    """Per document: doc_id, counts of base spans by kind, base_sha256, spans (all), n_added."""
+    """Per document: doc_id, counts of base spans by kind, base_sha256, spans (all), n_spans (how many)."""
     spark = docs.sparkSession
     bound_batches(spark)
     if model is None:
         model, thresholds = train(spark)
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), docs["doc_id"].alias("doc_id"), F.pandas_udf(_found, FOUND)(docs["text"]).alias("f"))
-    each = rows.select("rid", "doc_id", *[F.col(f"f.n_{k}").alias(f"n_{k}") for k in KINDS], F.col("f.base_sha256").alias("base_sha256"), F.col("f.base").alias("base"), F.explode_outer("f.wide").alias("c"))
+    each = rows.select("rid", "doc_id", *[F.col(f"f.n_{k}").alias(f"n_{k}") for k in BASE], F.col("f.base_sha256").alias("base_sha256"), F.col("f.base").alias("base"), F.explode_outer("f.wide").alias("c"))
     blank = F.array(*[F.lit(0.0)] * len(FEATURES))
     scored = model.transform(each.withColumn("v", array_to_vector(F.coalesce("c.features", blank))))
     p = vector_to_array("probability")[1]
     limit = F.element_at(F.array(*[F.lit(t) for t in thresholds]), F.col("c.kind") + 1)
     taken = F.when(F.col("c").isNotNull() & (p >= limit), F.struct(F.col("c.kind").alias("kind"), F.col("c.start").alias("start"), F.col("c.stop").alias("stop"), p.alias("p")))
-    fixed = ("rid", "doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "base")
+    fixed = ("rid", "doc_id", *[f"n_{k}" for k in BASE], "base_sha256", "base")
     gathered = scored.select(*fixed, taken.alias("j")).groupBy(*fixed).agg(F.collect_list("j").alias("js"))
-    spans = F.pandas_udf(_selected, "string")("base", "js")
-    return gathered.select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", spans.alias("spans"), F.size("js").cast("long").alias("n_selected"))
+    judged = gathered.select("doc_id", *[f"n_{k}" for k in BASE], "base_sha256", F.pandas_udf(_selected, "string").asNondeterministic()("base", "js").alias("spans"))
+    return judged.withColumn("n_spans", F.when(F.col("spans") == "", 0).otherwise(F.size(F.split("spans", ","))).cast("long"))

@@ -81,3 +81,41 @@ def test_edges(spark, trained):
     rows = pii.find_pii(docs, *trained).collect()
     assert sorted(r.spans for r in rows) == ["email:0:6", "email:0:6", "email:60000:60006"]
     assert pii.find_pii(docs.limit(0), *trained).count() == 0
+
+
+def test_generators_reach_most_of_what_is_personal():
+    rows = pii.training_rows(1500, seed=23)
+    reached = [bool(pii.wide_spans(t, b) or b) for t, y in rows if y for b in [pii.base_spans(t)]]
+    assert sum(reached) >= 0.95 * len(reached)
+
+
+def test_prose_with_secrets_and_look_alikes(spark, trained):
+    """Accepted and rejected candidates in prose like that of a corpus, in upper case too."""
+    import random
+
+    from tests.llm.helpers import words
+
+    rng = random.Random(31)
+    digits = lambda n, of="0123456789": "".join(rng.choice(of) for _ in range(n))
+    secret, plain = [], []
+    for k in range(40):
+        around = [" ".join(words(rng, rng.randint(3, 40))) for _ in range(2)]
+        body = digits(15)
+        wrong = body + next(c for c in "0123456789" if not pii.luhn(body + c))
+        secret.append(f'{around[0]} token = "{digits(40, "0123456789abcdef")}" {around[1]}.')
+        plain.append(f"{around[0]} {wrong if k % 2 else 'commit ' + digits(40, '0123456789abcdef')} {around[1]}.")
+    texts = secret + plain + [t.upper() for t in secret[:10]]
+    got = {r.doc_id: r for r in pii.find_pii(frame(spark, texts), *trained).collect()}
+    found = [got[k].spans.startswith("secret:") and got[k].n_spans == 1 for k in range(40)]
+    clean = [got[k].spans == "" and got[k].n_spans == 0 for k in range(40, 80)]
+    assert sum(found) >= 38 and sum(clean) >= 36
+    at = texts[0].index('"') + 1
+    assert got[0].spans == f"secret:{at}:{at + 40}"
+
+
+def test_of_equal_scores_the_longer_then_the_earlier_stays():
+    spans = [{"kind": 3, "start": 0, "stop": 8, "p": 0.9}, {"kind": 2, "start": 4, "stop": 20, "p": 0.9}, {"kind": 3, "start": 19, "stop": 35, "p": 0.9}]
+    import pandas as pd
+
+    assert pii._selected(pd.Series([""]), pd.Series([spans]))[0] == "card:4:20"
+    assert pii._selected(pd.Series(["ip:40:47"]), pd.Series([spans[:1] + spans[2:]]))[0] == "ip:40:47,phone:0:8,phone:19:35"
