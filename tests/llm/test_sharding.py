@@ -43,3 +43,37 @@ def test_edges(spark):
     twins = [r for r in rows if r["size"] == 9]
     assert twins[0].shard == twins[1].shard and abs(twins[0].slot - twins[1].slot) == 1
     assert sharding.shard_documents(docs.limit(0)).count() == 0
+
+
+def test_stored_map_is_edited_and_grown(spark, tmp_path):
+    path = str(tmp_path / "map")
+    texts = ["t" * (k % 300) for k in range(4000)]
+    first = sharding.shard_documents(frame(spark, texts[:2000]), shards=6, slots=256, map_path=path).collect()
+    assert {r.map_version for r in first} == {2} and len(spark.read.parquet(path).collect()) == 2 * 256
+    again = sharding.shard_documents(frame(spark, texts[:2000]), shards=6, slots=256, map_path=path).collect()
+    assert sorted(again) == sorted(first)
+    more = sharding.shard_documents(frame(spark, texts), shards=6, slots=256, map_path=path).collect()
+    old = {r.vslot: r.shard for r in first}
+    moved = {r.vslot for r in more if r.vslot in old and r.shard != old[r.vslot]}
+    assert {r.map_version for r in more} == {3} and 0 < len(moved) < 64
+    grown = sharding.shard_documents(frame(spark, texts), shards=7, slots=256, map_path=path).collect()
+    loads = defaultdict(int)
+    for r in grown:
+        loads[r.shard] += r["size"]
+    assert set(loads) == set(range(7)) and max(loads.values()) < 1.02 * min(loads.values()) and {r.map_version for r in grown} <= {4, 5}
+
+
+def test_editing_against_brute_force():
+    """Every edit is even: no single move between two shards would bring them closer by more than the tolerance."""
+    sizes = {v: (v * v * 31) % 997 + 1 for v in range(96)} | {5: 50_000}
+    placed = sharding.edited_map(sharding.even_map(5, 96), sizes)
+    loads, members = defaultdict(int), defaultdict(list)
+    for version, slot, shard in placed:
+        assert version == 2
+        loads[shard] += sizes[slot]
+        members[shard].append(slot)
+    assert sorted(s for m in members.values() for s in m) == list(range(96))
+    hot = next(s for s, m in members.items() if 5 in m)
+    rest = [loads[s] for s in loads if s != hot]
+    assert max(rest) - min(rest) <= 2 and members[hot] == [5]
+    assert sharding.edited_map(placed, sizes) == placed
