@@ -124,9 +124,8 @@ a AS (SELECT conv_id, max(i) AS n, max(i) FILTER (WHERE r = 'assistant') AS la F
 rep AS (SELECT t.conv_id, t.x FROM t JOIN a ON t.conv_id = a.conv_id AND t.i = a.la),
 c AS (SELECT t.conv_id, t.i, t.r, t.raw, t.x, a.la,
              CASE WHEN t.i = a.la THEN coalesce(p.x, '') ELSE t.raw END AS y
-      FROM t JOIN a ON t.conv_id = a.conv_id LEFT JOIN rep p ON p.conv_id = xor(t.conv_id, 1)
-      WHERE t.i <= coalesce(a.la, a.n)),
-k AS (SELECT conv_id, CASE WHEN bool_and(raw IS NOT DISTINCT FROM y) THEN max(i) ELSE max(i) - 1 END AS np FROM c GROUP BY conv_id),
+      FROM t JOIN a ON t.conv_id = a.conv_id LEFT JOIN rep p ON p.conv_id = xor(t.conv_id, 1)),
+k AS (SELECT conv_id, CASE WHEN bool_and(raw IS NOT DISTINCT FROM y) THEN max(i) ELSE any_value(la) - 1 END AS np FROM c GROUP BY conv_id),
 m AS (SELECT c.conv_id, c.i, c.r, k.np, '<|im_start|>' || c.r || chr(10) AS h, c.x || '<|im_end|>' || chr(10) AS bc,
              coalesce(c.y, '') || '<|im_end|>' || chr(10) AS br
       FROM c JOIN k ON c.conv_id = k.conv_id)

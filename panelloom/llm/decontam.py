@@ -2,8 +2,8 @@
 
 Token runs that a document shares with a benchmark item seed the search (a join on run fingerprints); for
 pairs whose seeds could cover enough of the item, the longest non-overlapping common runs are marked
-again and again, found by Karp-Rabin fingerprints and confirmed on the tokens, until no run of
-``min_tile`` tokens is left.  A pair counts as a leak when its tiles cover ``coverage`` of the item's
+again and again, found by Karp-Rabin fingerprints and confirmed token by token (64-bit fingerprints of
+single tokens), until no run of ``min_tile`` tokens is left.  A pair counts as a leak when its tiles cover ``coverage`` of the item's
 tokens, in any order, so passages with moved sentences are caught too.
 
 The seed index of the benchmark is broadcast only while its token count, checked first, is within
@@ -63,7 +63,8 @@ def common_runs(item: np.ndarray, doc: np.ndarray, min_tile: int) -> list[tuple[
             out[-1][2] = i
         else:
             out.append([diagonal, i, i])
-    return [(last - first + min_tile, first, first + diagonal) for diagonal, first, last in out]
+    runs = [(last - first + min_tile, first, first + diagonal) for diagonal, first, last in out]
+    return [(n, i, j) for n, i, j in runs if (item[i : i + n] == doc[j : j + n]).all()]
 
 
 def tile(item: np.ndarray, doc: np.ndarray, min_tile: int = MIN_TILE) -> list[tuple[int, int, int]]:

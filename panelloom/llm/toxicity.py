@@ -1,8 +1,9 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 Every n-gram of 3 to 5 characters of the lower-cased text is hashed to a bucket; a document is the set of
-its buckets, and of marks for those that it repeats often for its length.  Document counts per bucket and class give the log-count ratios, logistic regression is
-fitted on the ratios of the buckets present, and the product of weight and ratio is one number per bucket.
+its buckets, and of marks for those that it repeats often for its length.  Document counts per bucket and
+class give the log-count ratios, logistic regression is fitted on the ratios of the most telling buckets
+present, and the product of weight and ratio is one number per bucket.
 Scoring sums these numbers over a text's buckets, in tasks, without a shuffle; the model is an array of a
 fixed size, whatever the corpus.
 
@@ -29,8 +30,9 @@ from panelloom.llm.kernels import U
 BUCKETS = 1 << 20
 ORDERS = (3, 4, 5)
 MAX_ROWS = 10_000
-#: Buckets with a part in the fit: the largest ratios, weighted by how many documents have them.
-MAX_FEATURES = 20_000
+#: Buckets with a part in the fit: those in LEAST sampled documents or more, and of these the MAX_FEATURES with the
+#: largest ratios, weighted by how many documents have them.  With all of them the fit does not converge (README).
+LEAST, MAX_FEATURES = 4, 20_000
 #: Occurrences per 1000 characters from which a bucket is marked as frequent, and the L2 penalty of the fit.
 FREQUENT, REGULAR = 1.5, 1e-2
 
@@ -82,7 +84,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFr
     return rows.select("y", F.pandas_udf(_bucket_sets, "array<int>")("text").alias("buckets"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, smooth: float = 1.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, smooth: float = 1.0, least: int = LEAST, most: int = MAX_FEATURES) -> Model:
     bound_batches(docs.sparkSession)
     sample = training_sample(docs, labels, max_rows).persist()
     n, positive = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
@@ -94,8 +96,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, smooth: fl
     per = sample.select("y", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("all"))
     smoothed = [(F.col("pos") + smooth) / (positive + smooth), (F.col("all") - F.col("pos") + smooth) / (n - positive + smooth)]
     ratio = F.log(smoothed[0] / smoothed[1])
-    top = per.filter("all >= 4").select("bucket", ratio.alias("ratio"), (F.abs(ratio) * F.sqrt("all")).alias("worth"))
-    top = top.orderBy(F.desc("worth"), "bucket").limit(MAX_FEATURES).toPandas()  # bounded by MAX_FEATURES
+    top = per.filter(F.col("all") >= least).select("bucket", ratio.alias("ratio"), (F.abs(ratio) * F.sqrt("all")).alias("worth"))
+    top = top.orderBy(F.desc("worth"), "bucket").limit(most).toPandas()  # bounded by ``most``
     place = np.full(2 * BUCKETS, -1, np.int32)
     place[top["bucket"]] = np.arange(len(top))
     shared = docs.sparkSession.sparkContext.broadcast((place, top["ratio"].to_numpy()))

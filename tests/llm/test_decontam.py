@@ -82,3 +82,24 @@ def test_edges(spark):
     assert decontam.leaks(docs.limit(0), bench).count() == 0
     long = frame(spark, [" ".join(words(random.Random(1), 60_000)) + " " + items[0]])
     assert [r.item_id for r in decontam.leaks(long, bench).collect()] == [0]
+
+
+def test_leaks_match_brute_force(spark):
+    rng = random.Random(17)
+    items = [words(rng, rng.randint(8, 40)) for _ in range(12)] + [words(rng, 3)]
+    docs = []
+    for k in range(60):
+        item = items[k % len(items)]
+        cut = rng.randint(0, len(item))
+        passage = {0: item, 1: item[cut:] + words(rng, 4) + item[:cut], 2: [*item[: cut // 2], "zz", *item[cut:]], 3: words(rng, 30)}[k % 4]
+        docs.append(" ".join(words(rng, rng.randint(0, 30)) + passage + words(rng, rng.randint(0, 30))))
+    want = set()
+    for d, text in enumerate(docs):
+        for i, item in enumerate(items):
+            total = brute_tiles(item, text.split(), decontam.MIN_TILE)
+            if total >= decontam.COVERAGE * len(item) and total:
+                want.add((d, i, len(item), total))
+    bench = spark.createDataFrame([(i, ". ".join(t).title()) for i, t in enumerate(items)], BENCH)
+    for bound in (decontam.BROADCAST_TOKENS, 0):
+        got = {(r.doc_id, r.item_id, r.n_tokens, r.n_covered) for r in decontam.leaks(frame(spark, docs), bench, broadcast_tokens=bound).collect()}
+        assert got == want and len(want) > 15
