@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from functools import lru_cache
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -34,8 +35,9 @@ def fracdiff(panel: DataFrame, d: float, threshold: float = 1e-4, most: int | No
     """Adds value: the differenced price of each asset.
 
     The kernel is cut at ``threshold`` and at ``most`` weights, by default the rows of an asset, which are
-    counted first (every asset of a panel has as many).  ``causal`` weighs the past, NULL until the kernel is full.  ``forward`` weighs the rows ahead, with zeros
-    beyond the end, as a convolution read off too late would give.
+    counted first (every asset of a panel has as many).  ``causal`` weighs the past, NULL until the kernel is
+    full.  ``forward`` weighs the rows ahead, with zeros beyond the end, as a convolution read off too late
+    would give.
     """
     if d < 0:
         raise ValueError("d must not be negative")
@@ -73,29 +75,44 @@ def _adf(x: np.ndarray) -> float:
     return best[1]
 
 
-#: Five per cent point of the statistic with a constant: value and terms in 1/n and 1/n**2 (MacKinnon 2010).
-CRITICAL = (-2.86154, -2.8903, -4.234)
+#: MacKinnon's (1994) approximation of the p-value of the statistic with a constant: below and above STAR the normal
+#: probability of a polynomial in the statistic.  Fixed values of the published tables.
+STAR = -1.61
+BELOW = (2.1659, 1.4412, 0.038269)
+ABOVE = (1.7339, 0.93202, -0.12745, -0.010368)
 
 
-def least_order(panel: DataFrame, candidates: tuple[float, ...] = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0), threshold: float = 1e-4) -> DataFrame:
-    """(asset, d, stationary): the first order whose differenced series rejects a unit root at 5 per cent.
+def unit_root_p(t: float) -> float:
+    """p-value of an augmented Dickey-Fuller statistic with a constant."""
+    if math.isnan(t):
+        return math.nan
+    if t > 2.74 or t < -18.83:  # beyond the range of the tables
+        return 1.0 if t > 0 else 0.0
+    return NormalDist().cdf(sum(c * t**k for k, c in enumerate(BELOW if t <= STAR else ABOVE)))
 
-    Series under 50 values are passed over; without a success, the largest order and ``stationary`` false.
+
+def least_order(panel: DataFrame, candidates: tuple[float, ...] = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6), threshold: float = 1e-4, p_threshold: float = 0.05, min_obs: int = 50) -> DataFrame:
+    """(asset, d, p_value, stationary, tested): the first order whose differenced series rejects a unit root.
+
+    ``tested`` maps the orders tried to their p-values.  Orders that leave fewer than ``min_obs`` values are
+    passed over; without a success d is the largest order, ``stationary`` is false and ``p_value`` that of d,
+    NULL if it was not tried.
     """
     ship(panel.sparkSession)
     orders = sorted(candidates)
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("pos")["price"].dropna().to_numpy()
-        found = None
+        found, tested = None, {}
         for d in orders:
             w = np.array(kernel(d, threshold, max(1, len(x))))
             y = np.convolve(x, w, mode="valid") if d and len(x) >= len(w) else x if not d else x[:0]
-            if len(y) >= 50:
-                t, n = _adf(y), len(y)
-                if t < CRITICAL[0] + CRITICAL[1] / n + CRITICAL[2] / n**2:
+            if len(y) >= min_obs:
+                tested[d] = unit_root_p(_adf(y))
+                if tested[d] < p_threshold:
                     found = d
                     break
-        return pd.DataFrame({"asset": [pdf["asset"].iloc[0]], "d": [orders[-1] if found is None else found], "stationary": [found is not None]})
+        d = orders[-1] if found is None else found
+        return pd.DataFrame({"asset": [pdf["asset"].iloc[0]], "d": [d], "p_value": pd.array([tested.get(d)], "Float64"), "stationary": [found is not None], "tested": [tested]})
 
-    return panel.select("asset", "pos", "price").groupBy("asset").applyInPandas(pick, "asset string, d double, stationary boolean")
+    return panel.select("asset", "pos", "price").groupBy("asset").applyInPandas(pick, "asset string, d double, p_value double, stationary boolean, tested map<double,double>")

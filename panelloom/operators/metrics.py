@@ -11,7 +11,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelloom.operators.simulate import with_equity
@@ -98,19 +98,24 @@ def annual_sharpe(daily: DataFrame, periods: int = 252, *keys: str) -> DataFrame
 
 
 def newey_west(daily: DataFrame, lags: int | None = None) -> DataFrame:
-    """t statistic of the mean with Bartlett weights; one row (n, mean, lags, variance, t)."""
-    stats = daily.agg(F.count("net").alias("n"), F.avg("net").alias("mean"))
-    length = F.lit(lags) if lags is not None else F.floor(0.75 * F.pow("n", F.lit(1 / 3)))
-    stats = stats.withColumn("lags", length.cast("int"))
-    numbered = daily.select(F.col("net"), F.col("pos"))
-    centred = numbered.crossJoin(F.broadcast(stats)).select("pos", (F.col("net") - F.col("mean")).alias("e"), "lags", "n")
-    shifted = centred.select("pos", "e", "n", "lags", F.explode(F.sequence(F.lit(0), F.col("lags"))).alias("k"))
-    pairs = shifted.withColumn("other_pos", F.col("pos") - F.col("k")).join(centred.select(F.col("pos").alias("other_pos"), F.col("e").alias("other")), "other_pos")
-    gamma = pairs.groupBy("k").agg((F.sum(F.col("e") * F.col("other")) / F.first("n")).alias("gamma"), F.first("lags").alias("lags"))
-    weight = F.when(F.col("k") == 0, F.lit(1.0)).otherwise(2 * (1 - F.col("k") / (F.col("lags") + 1)))
-    variance = gamma.agg(F.sum(weight * F.col("gamma")).alias("variance"))
-    t = F.when(F.col("n") >= 2, F.try_divide(F.col("mean"), F.sqrt(F.when(F.col("variance") > 0, F.col("variance")) / F.col("n"))))
-    return stats.crossJoin(F.broadcast(variance)).select("n", "mean", "lags", "variance", t.alias("t"))
+    """t statistic of the mean with Bartlett weights; one row (n, mean, lags, variance, t).
+
+    Dates without a return drop out first, so lags count the returns that are there.  By default there are
+    0.75 times the cube root of n of them.  t is NULL for fewer than two returns, and infinite where the
+    weighted variance is not positive.
+    """
+    series = daily.filter("net is not null").select("pos", "net")
+    if lags is None:
+        lags = int(0.75 * series.count() ** (1 / 3))
+    e = F.col("net") - F.avg("net").over(Window.partitionBy())
+    order = Window.orderBy("pos")
+    centred = series.withColumn("e", e)
+    products = centred.select("net", *[(F.col("e") * (F.lag("e", k).over(order) if k else F.col("e"))).alias(f"p{k}") for k in range(lags + 1)])
+    sums = products.agg(F.count("net").alias("n"), F.avg("net").alias("mean"), *[F.coalesce(F.sum(f"p{k}"), F.lit(0.0)).alias(f"s{k}") for k in range(lags + 1)])
+    weighted = sum((F.lit(2 * (1 - k / (lags + 1))) * F.col(f"s{k}") for k in range(1, lags + 1)), F.col("s0"))
+    out = sums.select("n", "mean", F.lit(lags).alias("lags"), F.try_divide(weighted, F.col("n")).alias("variance"))
+    t = F.when(F.col("variance") > 0, F.col("mean") / F.sqrt(F.col("variance") / F.col("n"))).otherwise(F.lit(float("inf")))
+    return out.withColumn("t", F.when(F.col("n") >= 2, t))
 
 
 def bootstrap_starts(n: int, block: int | None = None, draws: int = 1000, seed: int = 42) -> tuple[int, np.ndarray]:

@@ -7,7 +7,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.functions.windows import along, clip, ewm_mean_halflife, lag, rolling_std, through, total
+from panelloom.functions.windows import across, along, clip, ewm_mean_halflife, lag, rolling_std
 from panelloom.operators.portfolio import l1_weights
 
 YEAR = 252
@@ -49,17 +49,15 @@ def inverse_vol(df: DataFrame, lookback: int, floor: float, *keys: str) -> DataF
 def vol_target(df: DataFrame, target: float, lookback: int, floor: float, max_leverage: float, *keys: str) -> DataFrame:
     """Weights times target over the portfolio's own volatility so far, at most ``max_leverage``.
 
-    The portfolio series has a row per date; it is joined back on the date.  NULL weights until the
-    volatility has half a lookback.
+    The portfolio's return is summed across each date and then followed along every asset, which in a dense
+    panel has all dates, so nothing is joined back.  NULL weights until the volatility has half a lookback.
     """
     if target <= 0:
         return df
     rows = df.withColumn("__g", lag(F.col("weight"), 1, along(*keys)) * F.col("ret"))
-    daily = rows.groupBy(*keys, "pos").agg(total(F.col("__g")).alias("__p"))
-    scale = F.try_divide(F.lit(float(target)), _annual(F.col("__p"), lookback, through(*keys), floor))
-    daily = daily.select(*keys, "pos", clip(scale, high=max_leverage).alias("__scale"))
-    out = df.join(daily, [*keys, "pos"])
-    return out.withColumn("weight", F.col("weight") * F.col("__scale")).drop("__scale")
+    rows = rows.withColumn("__p", F.coalesce(F.sum("__g").over(across(*keys)), F.lit(0.0)))
+    scale = F.try_divide(F.lit(float(target)), _annual(F.col("__p"), lookback, along(*keys), floor))
+    return rows.withColumn("weight", F.col("weight") * clip(scale, high=max_leverage)).drop("__g", "__p")
 
 
 def apply_risk(df: DataFrame, config: RiskConfig | None, max_gross: float = 1.0, *keys: str) -> DataFrame:

@@ -20,6 +20,7 @@ from panelloom.sources.panels import with_returns
 
 EPS = 1e-8
 VAR_FLOOR = 1e-10
+WORKING = ("market", "resid", "__mom", "__vol", "__ewm", "__fit")
 REGISTRY: dict[str, Callable[..., DataFrame]] = {}
 
 
@@ -51,8 +52,9 @@ def _positive(**values: int) -> None:
 
 
 def _scored(df: DataFrame, score: Column) -> DataFrame:
+    """``df`` with the score, lagged, and without working columns; columns that the caller brought stay."""
     df = df.withColumn("score", score)
-    return df.withColumn("score", lag(F.col("score"), 1, along())).select("asset", "ts", "pos", "price", "ret", "score")
+    return df.withColumn("score", lag(F.col("score"), 1, along())).drop(*WORKING)
 
 
 @register_signal("momentum")
@@ -105,12 +107,12 @@ def vol_scaled_momentum(panel: DataFrame, lookback: int = 20, vol_window: int =
 
 @register_signal("regime_switch")
 def regime_switch(panel: DataFrame, lookback: int = 20, vol_window: int = 20, vol_threshold: float = 0.02) -> DataFrame:
-    """Momentum while the mean deviation across assets is below the threshold, reversal otherwise."""
+    """Momentum while the mean deviation across assets is below the threshold, reversal above it, NULL while it is unknown."""
     _positive(lookback=lookback, vol_window=vol_window)
     df = with_returns(panel)
     df = df.withColumns({"__mom": rolling(F.sum, F.col("ret"), lookback, along()), "__vol": rolling_std(F.col("ret"), vol_window, along())})
-    calm = F.coalesce(F.avg("__vol").over(across()) < vol_threshold, F.lit(False))
-    return _scored(df, F.when(calm, F.col("__mom")).otherwise(-F.col("__mom")))
+    calm = F.avg("__vol").over(across()) < vol_threshold
+    return _scored(df, F.when(calm, F.col("__mom")).when(~calm, -F.col("__mom")))
 
 
 @register_signal("ewma_momentum")

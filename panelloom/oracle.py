@@ -95,6 +95,10 @@ scored("residual", "resid", f"({rolled('sum', 'e', 252, 126)}) - ({rolled('sum',
 cte("regime_parts", (R,), f"SELECT *, {rolled('sum', 'ret', 20)} AS mom, {spread('ret', 20)} AS vol FROM {R}")
 cte("regime_mean", ("regime_parts",), "SELECT *, avg(vol) OVER (PARTITION BY pos) AS level FROM regime_parts")
 scored("regime", "regime_mean", "CASE WHEN level < 0.02 THEN mom ELSE -mom END")
+# The deviation has the longer window here, so there are dates with momentum and no level.
+cte("slow_parts", (R,), f"SELECT *, {rolled('sum', 'ret', 5)} AS mom, {spread('ret', 20)} AS vol FROM {R}")
+cte("slow_mean", ("slow_parts",), "SELECT *, avg(vol) OVER (PARTITION BY pos) AS level FROM slow_parts")
+scored("regime_slow", "slow_mean", "CASE WHEN level < 0.02 THEN mom WHEN level >= 0.02 THEN -mom END")
 
 
 def ewm(name: str, base: str, x: str, span: int) -> str:
@@ -228,8 +232,7 @@ def inverse(name: str, base: str, n: int, floor: float) -> str:
     return cte(name, (base,), f"SELECT asset, ts, pos, price, ret, CASE WHEN count(ret) OVER ({last(n)}) >= {max(n // 2, 2)} THEN score / {v} ELSE 0.0 END AS score FROM {base}")
 
 
-def targeted(name: str, base: str, target: float, n: int, floor: float, most: float) -> str:
-    w = "ORDER BY pos"
+def targeted(name: str, base: str, target: float, n: int, floor: float, most: float, w: str = "ORDER BY pos") -> str:
     cte(f"{name}_l", (base,), f"SELECT *, lag(weight) OVER ({AL}) * ret AS g FROM {base}")
     cte(f"{name}_p", (f"{name}_l",), f"SELECT pos, coalesce(sum(g), 0.0) AS p FROM {name}_l GROUP BY pos")
     v = f"greatest({spread('p', n, max(n // 2, 2), w)} * sqrt(252), {floor}::DOUBLE)"
@@ -240,12 +243,12 @@ def targeted(name: str, base: str, target: float, n: int, floor: float, most: fl
 Q5 = 0.5 ** (1 / 5)
 
 
-def risk(name: str, base: str, clip: float = 2.0) -> str:
+def risk(name: str, base: str, clip: float = 2.0, w: str = "ORDER BY pos") -> str:
     cte(f"{name}_c", (base,), f"SELECT asset, ts, pos, price, ret, least(greatest(score, {-clip}::DOUBLE), {clip}::DOUBLE) AS score FROM {base} ")
     smooth(f"{name}_sm", f"{name}_c", Q5)
     inverse(f"{name}_iv", f"{name}_sm", 20, 0.01)
     l1(f"{name}_n", f"{name}_iv")
-    return targeted(name, f"{name}_n", 0.15, 63, 0.01, 2.0)
+    return targeted(name, f"{name}_n", 0.15, 63, 0.01, 2.0, w)
 
 
 cte("z_clip", ("z_momentum",), "SELECT asset, ts, pos, price, ret, least(greatest(score, -1.0::DOUBLE), 1.0::DOUBLE) AS score FROM z_momentum")
@@ -297,10 +300,66 @@ cte(
 cte("labels_y", ("touched",), "SELECT *, CASE WHEN up IS NOT NULL AND (down IS NULL OR up <= down) THEN 1 WHEN down IS NOT NULL THEN -1 ELSE sign(p1 - p0) END::INT AS y, (p1 - p0) / nullif(p0, 0) AS realised FROM touched")
 cte("feats_raw", ("dev50",), f"SELECT asset, ts, pos, price / nullif(lag(price, 20) OVER ({AL}), 0) - 1 AS mom, v, (price - ({rolled('avg', 'price', 20)})) / nullif({spread('price', 20)}, 0) AS rev FROM dev50")
 cte("feats", ("feats_raw",), f"SELECT asset, ts, pos, lag(mom) OVER ({AL}) AS momentum, lag(v) OVER ({AL}) AS volatility, lag(rev) OVER ({AL}) AS mean_rev FROM feats_raw")
-_k = kernel(0.4, 1e-2)
-cte("fd", ("line_smooth",), f"SELECT asset, ts, pos, price, CASE WHEN count(price) OVER ({last(len(_k))}) >= {len(_k)} THEN " + " + ".join(f"{w!r}::DOUBLE * lag(price, {j}) OVER ({AL})" for j, w in enumerate(_k)) + " END AS value FROM line_smooth")
-
+_k = kernel(0.4)
+cte("taps", (), "SELECT * FROM (VALUES " + ", ".join(f"({j}, {w!r}::DOUBLE)" for j, w in enumerate(_k)) + ") t(j, w)")
+cte(
+    "fd", ("line_smooth", "taps"),
+    f"SELECT a.asset, a.ts, a.pos, any_value(a.price) AS price, CASE WHEN count(b.price) >= {len(_k)} THEN sum(w * b.price ORDER BY j) END AS value FROM line_smooth a JOIN line_smooth b ON b.asset = a.asset AND b.pos BETWEEN a.pos - {len(_k) - 1} AND a.pos JOIN taps ON j = a.pos - b.pos GROUP BY a.asset, a.ts, a.pos",
+)
+cte(
+    "fd_ahead", ("line_smooth", "taps"),
+    f"SELECT a.asset, a.ts, a.pos, any_value(a.price) AS price, coalesce(sum(w * b.price ORDER BY j), 0.0) AS value FROM line_smooth a JOIN line_smooth b ON b.asset = a.asset AND b.pos BETWEEN a.pos AND a.pos + {len(_k) - 1} JOIN taps ON j = b.pos - a.pos GROUP BY a.asset, a.ts, a.pos",
+)
 
-def newey_west_sql(lags: int) -> str:
-    terms = "".join(f" + 2 * (1 - {k}.0 / {lags + 1}) * (SELECT sum(a.e * b.e) / any_value(a.n) FROM c a JOIN c b ON a.pos = b.pos + {k})" for k in range(1, lags + 1))
-    return f"c AS (SELECT pos, net - avg(net) OVER () AS e, count(*) OVER () AS n, avg(net) OVER () AS mean FROM bt), v AS (SELECT (SELECT sum(e * e) / any_value(n) FROM c){terms} AS variance)"
+# The widest panel: an asset per supplier.
+CTES.update(dense("supp", "lineitem", "l_suppkey::VARCHAR", "l_shipdate::DATE", "l_extendedprice"))
+scored("supp_mom", "supp_ret", rolled("sum", "ret", 20))
+ranked("supp_w", "supp_mom")
+simulated("supp_sim", "supp_w")
+equity("supp_bt", "supp_sim")
+parts("p_supp", "supp_bt")
+
+# A search over the span of the exponential momentum, judged on the folds.
+for _span in (10, 20):
+    ewm(f"span{_span}_m", R, "ret", _span)
+    scored(f"span{_span}_s", f"span{_span}_m", "y")
+    ranked(f"span{_span}_w", f"span{_span}_s")
+    simulated(f"span{_span}", f"span{_span}_w")
+    cte(f"span{_span}_f", (f"span{_span}", "folds"), f"SELECT fold, CASE WHEN stddev_samp(net) > 1e-12 THEN avg(net) / stddev_samp(net) * sqrt(252) ELSE 0.0 END AS sharpe FROM span{_span} b JOIN folds ON b.ts = folds.t0 GROUP BY fold")
+
+# Two signals at fixed weights, through the risk model.
+cte("mixed", ("z_momentum", "z_ewma"), "SELECT a.asset, a.ts, a.pos, a.price, a.ret, 0.25::DOUBLE * a.score + 0.75::DOUBLE * b.score AS score FROM z_momentum a JOIN z_ewma b USING (asset, pos)")
+risk("mixed_w", "mixed")
+simulated("mixed_sim", "mixed_w")
+equity("mixed_bt", "mixed_sim")
+
+# Walk-forward: a run is a window and a combination of weights.  Its number goes into the names of assets and, times
+# a million, into positions, so that every expression above keeps runs apart.
+cte("wf_n", ("line_dates",), "SELECT count(*) AS n FROM line_dates")
+cte("wf_win", ("wf_n",), "SELECT i AS win, i * 252 AS train_lo, i * 252 + 503 AS train_hi, i * 252 + 503 AS test_lo, i * 252 + 755 AS test_hi FROM wf_n, range(1000) t(i) WHERE i * 252 + 756 <= n")
+cte("wf_z", ("z_momentum", "z_ewma"), "SELECT a.asset, a.ts, a.pos, a.price, a.score AS za, b.score AS zb FROM z_momentum a JOIN z_ewma b USING (asset, pos)")
+cte("wf_grid", (), "SELECT i AS combo, i * 0.25::DOUBLE AS wa, 1 - i * 0.25::DOUBLE AS wb FROM range(5) t(i)")
+
+
+def slices(name: str, part: str, runs: str) -> None:
+    """Rows of the slice ``part`` of each of ``runs`` (win, run, bounds, weights), with returns begun anew."""
+    cte(f"{name}_in", ("wf_z", runs), f"SELECT run || ':' || asset AS asset, ts, run * 1000000 + pos AS pos, price, wa * za + wb * zb AS score FROM wf_z JOIN {runs} ON pos BETWEEN {part}_lo AND {part}_hi")
+    cte(name, (f"{name}_in",), f"SELECT asset, ts, pos, price, price / nullif(lag(price) OVER ({AL}), 0) - 1 AS ret, score FROM {name}_in")
+    risk(f"{name}_w", name, w="PARTITION BY pos // 1000000 ORDER BY pos")
+    simulated(f"{name}_sim", f"{name}_w")
+
+
+cte("wf_trials", ("wf_win", "wf_grid"), "SELECT *, win * 100 + combo AS run FROM wf_win, wf_grid")
+slices("wf_train", "train", "wf_trials")
+cte("wf_tried", ("wf_train_sim",), "SELECT pos // 1000000 AS run, avg(net) / stddev_samp(net) AS s FROM wf_train_sim GROUP BY 1 HAVING count(net) >= 20 AND stddev_samp(net) > 1e-12")
+cte("wf_best", ("wf_tried",), "SELECT run // 100 AS win, run % 100 AS combo FROM wf_tried QUALIFY row_number() OVER (PARTITION BY run // 100 ORDER BY s DESC, run) = 1")
+cte("wf_tests", ("wf_win", "wf_best", "wf_grid"), "SELECT w.*, w.win AS run, coalesce(wa, 0.5) AS wa, coalesce(wb, 0.5) AS wb FROM wf_win w LEFT JOIN wf_best b ON b.win = w.win LEFT JOIN wf_grid g ON g.combo = b.combo")
+slices("wf_test", "test", "wf_tests")
+cte("wf_oos", ("wf_test_sim",), "SELECT ts, pos % 1000000 AS pos, turnover, net FROM wf_test_sim QUALIFY row_number() OVER (PARTITION BY pos % 1000000 ORDER BY pos) = 1")
+equity("wf_bt", "wf_oos")
+
+
+def newey_west_sql(lags: int, base: str = "bt") -> str:
+    terms = "".join(f" + 2 * (1 - {k}.0 / {lags + 1}) * (SELECT sum(a.e * b.e) / any_value(a.n) FROM c a JOIN c b ON a.i = b.i + {k})" for k in range(1, lags + 1))
+    rows = f"SELECT row_number() OVER (ORDER BY pos) AS i, net FROM {base} WHERE net IS NOT NULL"
+    return f"c AS (SELECT i, net - avg(net) OVER () AS e, count(*) OVER () AS n, avg(net) OVER () AS mean FROM ({rows})), v AS (SELECT (SELECT sum(e * e) / any_value(n) FROM c){terms} AS variance)"

@@ -18,6 +18,7 @@ from panelloom.operators.portfolio import zscores
 from panelloom.operators.risk import RiskConfig, apply_risk
 from panelloom.operators.signals import compute_signal
 from panelloom.operators.simulate import simulate, with_equity
+from panelloom.sources.panels import with_returns
 
 
 @dataclass
@@ -37,15 +38,21 @@ class WalkForwardResult:
 
 
 def compute_signals(panel: DataFrame, names: list[str], **options) -> DataFrame:
-    """The panel with a column of z-scores per signal, named z_<signal>."""
-    out = None
+    """The panel with a column of z-scores per signal, named z_<signal>.
+
+    Signals are added to one another's rows, so the panel is read once and dealt out twice, by asset and by
+    date, however many there are.  A registered signal that gives back other columns is joined in.
+    """
+    scores = with_returns(panel).select("asset", "ts", "pos", "price", "ret")
     for name in names:
-        z = zscores(compute_signal(name, panel, **options))
-        if out is None:
-            out = z.select("asset", "ts", "pos", "price", "ret", F.col("score").alias(f"z_{name}"))
+        own = compute_signal(name, scores, **options)
+        if set(scores.columns) <= set(own.columns):
+            scores = own.select(*scores.columns, F.col("score").alias(f"__raw_{name}"))
         else:
-            out = out.join(z.select("asset", "pos", F.col("score").alias(f"z_{name}")), ["asset", "pos"])
-    return out
+            scores = scores.join(own.select("asset", "pos", F.col("score").alias(f"__raw_{name}")), ["asset", "pos"])
+    for name in names:
+        scores = zscores(scores, f"__raw_{name}", f"z_{name}")
+    return scores.select("asset", "ts", "pos", "price", "ret", *[f"z_{n}" for n in names])
 
 
 def _impact(model: str) -> str:
@@ -61,6 +68,18 @@ def blend_equal_weight(panel: DataFrame, names: list[str], max_gross: float = 1.
     return CombinedResult(with_equity(daily), blend_summary(daily), {n: 1 / len(names) for n in names}, "equal_weight")
 
 
+def weighted_backtest(panel: DataFrame, weights: dict[str, float], max_gross: float = 1.0, cost_bps: float = 10.0, impact: str = "proportional", risk: RiskConfig | None = None, **options) -> CombinedResult:
+    """Signals mixed by fixed ``weights``, through the risk model; signals without a positive weight are left out."""
+    active = {n: float(w) for n, w in weights.items() if w > 0}
+    if not active:
+        raise ValueError("no signal has a positive weight")
+    scores = compute_signals(panel, list(active), **options)
+    first, *rest = active
+    mixed = sum((F.col(f"z_{n}") * active[n] for n in rest), F.col(f"z_{first}") * active[first])
+    daily = simulate(apply_risk(scores.withColumn("score", mixed), risk, max_gross), cost_bps, _impact(impact))
+    return CombinedResult(with_equity(daily), blend_summary(daily), active, "weighted")
+
+
 def weight_grid(n: int, step: float = 0.2) -> list[tuple[float, ...]]:
     """Weights on multiples of ``step`` that sum to 1, in lexicographic order; empty where none do."""
     levels = [round(k * step, 2) for k in range(int(1 / step) + 1)]

@@ -73,10 +73,10 @@ def panel_smooth(spark, sf_dir):
     return cells(panels.orders_smooth(spark, sf_dir).withColumn("log_price", F.ln("price")), "log_price")
 
 
-@query("panel_wide", o.render(f"SELECT {o.day()} AS day, " + ", ".join(f"{o.r6(f'max(ln(price)) FILTER (asset = {chr(39)}{a}{chr(39)})')} AS {a}" for a in ("AF", "NF", "NO", "RF")) + " FROM line_smooth GROUP BY ts", "line_smooth"))
+@query("panel_wide", o.render(f"SELECT {o.day()} AS day, " + ", ".join(f"{o.r6(f'max(ln(price)) FILTER (asset = {chr(39)}{a}{chr(39)})')} AS {a}" for a in ("AF", "AO", "NF", "NO", "RF", "RO")) + " FROM line_smooth GROUP BY ts", "line_smooth"))
 def panel_wide(spark, sf_dir):
-    wide = panels.long_to_wide(panels.line_smooth(spark, sf_dir).withColumn("price", F.ln("price")), assets=["AF", "NF", "NO", "RF"])
-    return days(wide, "AF", "NF", "NO", "RF")
+    wide = panels.long_to_wide(panels.line_smooth(spark, sf_dir).withColumn("price", F.ln("price")), assets=["AF", "AO", "NF", "NO", "RF", "RO"])
+    return days(wide, "AF", "AO", "NF", "NO", "RF", "RO")
 
 
 @query("returns_simple", cells_sql("line_ret", "ret"))
@@ -125,6 +125,12 @@ for _short in o.SIGNALS:
     _signal(_short, SIGNAL_NAMES.get(_short, _short))
 
 
+@query("sig_regime_slow", cells_sql("regime_slow", "score"))
+def sig_regime_slow(spark, sf_dir):
+    """A deviation window longer than the lookback: scores are missing until the level is known."""
+    return cells(signals.regime_switch(panels.line_smooth(spark, sf_dir), 5, 20), "score")
+
+
 @query("sig_arima")
 def sig_arima(spark, sf_dir):
     return cells(signals.arima(panels.line_smooth(spark, sf_dir)), "score")
@@ -252,6 +258,7 @@ def sharpe_annual(spark, sf_dir):
 
 
 _NW = o.newey_west_sql(8)
+o.cte("gapped", ("bt",), "SELECT pos, CASE WHEN pos % 7 <> 3 THEN net END AS net FROM bt")
 
 
 @query("newey_west", o.render("", "bt").rstrip() + ", " + _NW + " SELECT any_value(n)::BIGINT AS n, 8 AS lags, round(any_value(mean) / sqrt(any_value(variance) / any_value(n)), 6) + 0.0 AS t FROM c, v")
@@ -259,6 +266,13 @@ def newey_west(spark, sf_dir):
     return metrics.newey_west(bt.backtest(panels.line_smooth(spark, sf_dir)).daily, 8).select("n", "lags", r6("t").alias("t"))
 
 
+@query("newey_west_gaps", o.render("", "gapped").rstrip() + ", " + o.newey_west_sql(8, "gapped") + " SELECT any_value(n)::BIGINT AS n, 8 AS lags, round(any_value(mean) / sqrt(any_value(variance) / any_value(n)), 6) + 0.0 AS t FROM c, v")
+def newey_west_gaps(spark, sf_dir):
+    """Every seventh return is missing: lags count the returns that are there."""
+    daily = bt.backtest(panels.line_smooth(spark, sf_dir)).daily.withColumn("net", F.when(F.col("pos") % 7 != 3, F.col("net")))
+    return metrics.newey_west(daily, 8).select("n", "lags", r6("t").alias("t"))
+
+
 @query("sharpe_moments", o.render("SELECT count(net)::BIGINT AS n, round(avg(net) / stddev_samp(net), 6) + 0.0 AS sharpe, round(skewness(net), 6) + 0.0 AS skew, round(kurtosis(net), 6) + 0.0 AS excess FROM bt", "bt"))
 def sharpe_moments(spark, sf_dir):
     return rounded(metrics.sharpe_moments(bt.backtest(panels.line_smooth(spark, sf_dir)).daily))
@@ -344,7 +358,13 @@ def wf_windows(spark, sf_dir):
     return blend.windows_table(spark, dates)
 
 
-@query("wf_stitched")
+@query("blend_weighted", days_sql("mixed_bt", "turnover", "net", "equity"))
+def blend_weighted(spark, sf_dir):
+    weights = {"momentum": 0.25, "ewma_momentum": 0.75}
+    return days(blend.weighted_backtest(panels.line_smooth(spark, sf_dir), weights, risk=risk.RiskConfig()).daily, "turnover", "net", "equity")
+
+
+@query("wf_stitched", days_sql("wf_bt", "net", "equity"))
 def wf_stitched(spark, sf_dir):
     result = blend.walk_forward(panels.line_smooth(spark, sf_dir), _BLEND[:2], weight_step=0.25, risk=risk.RiskConfig())
     return days(result.daily, "net", "equity")
@@ -401,7 +421,7 @@ def sweep(spark, sf_dir):
     return rounded(search.sweep(panels.line_smooth(spark, sf_dir), "momentum", [10, 20], [0.5, 1.0]))
 
 
-@query("optimize_ewma")
+@query("optimize_ewma", o.render("SELECT place, round(avg(sharpe), 6) + 0.0 AS mean, round(median(sharpe), 6) + 0.0 AS median FROM (SELECT 0::INT AS place, sharpe FROM span10_f UNION ALL SELECT 1::INT, sharpe FROM span20_f) GROUP BY place", "span10_f", "span20_f"))
 def optimize_ewma(spark, sf_dir):
     return rounded(search.optimize_ewma(panels.line_smooth(spark, sf_dir), [10, 20]).scores)
 
@@ -436,9 +456,16 @@ def fracdiff_values(spark, sf_dir):
     return cells(fracdiff.fracdiff(panels.line_smooth(spark, sf_dir), 0.4).withColumn("value", F.col("value") / F.col("price")), "value")
 
 
+@query("fracdiff_forward", o.render(f"SELECT asset, {o.day()} AS day, {o.r6('value / price')} AS value FROM fd_ahead", "fd_ahead"))
+def fracdiff_forward(spark, sf_dir):
+    return cells(fracdiff.fracdiff(panels.line_smooth(spark, sf_dir), 0.4, mode="forward").withColumn("value", F.col("value") / F.col("price")), "value")
+
+
 @query("min_order")
 def min_order(spark, sf_dir):
-    return fracdiff.least_order(panels.line_smooth(spark, sf_dir))
+    """The order, its p-value and, as text, every order tried with its p-value."""
+    tried = F.array_join(F.transform(F.array_sort(F.map_entries("tested")), lambda e: F.format_string("%.1f:%.6f", e["key"], e["value"])), ",")
+    return fracdiff.least_order(panels.line_smooth(spark, sf_dir)).select("asset", "d", r6("p_value").alias("p_value"), "stationary", tried.alias("tested"))
 
 
 @query("meta_model")
@@ -451,7 +478,7 @@ def synthetic_panel(spark, sf_dir):
     return cells(loaders.synthetic_prices(spark, 5, 300), "price")
 
 
-@query("bt_supplier")
+@query("bt_supplier", o.render(f"SELECT {o.summary('backtest')} FROM p_supp", "p_supp"))
 def bt_supplier(spark, sf_dir):
     """The widest panel: one asset per supplier."""
     return rounded(bt.backtest(panels.supplier_smooth(spark, sf_dir)).metrics)

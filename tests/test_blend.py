@@ -81,3 +81,20 @@ def test_grid_and_errors(spark, prices):
         blend.walk_forward(panel(spark, prices), NAMES, 250, 60)
     equal = blend.walk_forward(panel(spark, prices), NAMES, 150, 60, 60, 0.3).windows.first()
     assert equal.best_weights == {"momentum": 0.5, "ewma_momentum": 0.5} and equal.train_sharpe is None
+
+
+def test_weighted_backtest_and_joined_signals(spark, prices):
+    from panelloom.operators.signals import REGISTRY, momentum, register_signal
+
+    a, b = scores_of(prices)
+    got = blend.weighted_backtest(panel(spark, prices), {"momentum": 0.3, "volatility": 0.0, "ewma_momentum": 0.7}, risk=RiskConfig())
+    net = [r.net for r in got.daily.orderBy("pos").collect()]
+    assert np.allclose(net, backtested(prices, 0.3 * a + 0.7 * b, RiskConfig()).to_numpy()) and got.mode == "weighted"
+    with pytest.raises(ValueError):
+        blend.weighted_backtest(panel(spark, prices), {"momentum": 0.0})
+    register_signal("narrow", lambda p: momentum(p).select("asset", "pos", "score"))
+    try:
+        both = blend.compute_signals(panel(spark, prices), ["momentum", "narrow"])
+        assert both.filter("z_momentum <> z_narrow").count() == 0 and both.count() == prices.size
+    finally:
+        del REGISTRY["narrow"]

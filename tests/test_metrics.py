@@ -46,6 +46,14 @@ def test_newey_west(spark, returns):
     assert row.lags == lags and row.t == pytest.approx(returns.mean() / math.sqrt(var / n))
 
 
+def test_newey_west_gaps_and_edges(spark, returns):
+    with_gaps = [v for r in returns for v in (r, None)]
+    whole, gaps = (metrics.newey_west(series(spark, x), 3).first() for x in (list(returns), with_gaps))
+    assert gaps.n == whole.n and gaps.t == pytest.approx(whole.t)
+    assert metrics.newey_west(series(spark, [1.0, 1.0, 1.0]), 1).first().t == math.inf
+    assert metrics.newey_west(series(spark, [0.5, None])).first().t is None
+
+
 def test_bootstrap(spark, returns):
     r = returns[:101]
     block, starts = metrics.bootstrap_starts(101, None, 60, 1)

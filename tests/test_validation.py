@@ -140,7 +140,17 @@ def test_least_order(spark):
     got = {r.asset: r for r in fracdiff.least_order(panel(spark, w), threshold=0.01).collect()}
     assert got["A0"].d == 0.1 and got["A0"].stationary and got["A1"].d > 0.1
     short = fracdiff.least_order(panel(spark, w.iloc[:30])).first()
-    assert short.d == 1.0 and not short.stationary
+    assert short.d == 0.6 and not short.stationary and short.tested == {} and short.p_value is None
+    first = got["A1"]
+    assert max(first.tested) == first.d and first.tested[first.d] == first.p_value and all(p >= 0.05 for d, p in first.tested.items() if first.stationary and d < first.d)
+    loose = fracdiff.least_order(panel(spark, w.iloc[:30]), candidates=(0.0, 0.2), p_threshold=1.1, min_obs=10).first()
+    assert loose.d == 0.0 and loose.stationary
+
+
+def test_unit_root_p_values():
+    """The published five and ten per cent points, and the ends of the table."""
+    assert abs(fracdiff.unit_root_p(-2.86154) - 0.05) < 0.001 and abs(fracdiff.unit_root_p(-2.56677) - 0.10) < 0.001
+    assert fracdiff.unit_root_p(3.0) == 1.0 and fracdiff.unit_root_p(-20.0) == 0.0 and fracdiff.unit_root_p(0.0) > 0.9
 
 
 def test_meta_model(spark):
