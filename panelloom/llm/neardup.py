@@ -158,6 +158,8 @@ HUBS = 8
 #: Pairs per task, and rows of the tables that they meet.
 PAIRS_ESTIMATED, PAIRS_VERIFIED = 20_000, 1_000
 NODES_MET, TEXTS_MET = 50_000, 5_000
+#: Shingles in front of its own that a row of the prefix join carries.
+BEFORE = 16
 
 
 class _Pairs:
@@ -207,23 +209,29 @@ def prefix_pairs(texts: DataFrame, components_of: DataFrame, width: int, thresho
 
     With shingles in order of rarity, alike sets share one of the first n - ceil(threshold * n) + 1, at places
     that leave enough to come.  Shingles of one text only head the order and are never joined, so members of a
-    large group with own words of their own meet nobody.
+    large group with own words of their own meet nobody; nor are shingles joined that one component has to itself.
+
+    A row carries the BEFORE prefix shingles in front of its own, and two rows that share one of these do not
+    meet: the row of an earlier shingle brings that pair together, at last that of the first they share.
     """
     hundredths = round(threshold * 100)
     rows = texts.select("node", "text").mapInPandas(_shingled(width), "node long, n long, shingle long")
-    rows = written(rows, "shingles")
-    common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    rows = written(rows.join(components_of, "node", "left").withColumn("component", F.coalesce("component", "node")), "shingles")
+    common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), (F.min("component") != F.max("component")).alias("mixed")).filter("c > 1")
     rows = rows.join(common, "shingle")
     within = Window.partitionBy("node")
-    rows = rows.withColumn("place", F.row_number().over(within.orderBy("c", "shingle")) + F.col("n") - F.count(F.lit(1)).over(within))
-    rows = rows.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * hundredths / 100) + 1)
-    rows = rows.join(components_of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rows = written(rows.select("node", "n", "shingle", "place", "component"), "prefixes")
-    side = {s: rows.select("shingle", F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("place").alias(f"p{s}"), F.col("component").alias(f"c{s}")) for s in "ab"}
-    met = side["a"].join(side["b"], "shingle").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")))
-    met = met.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * hundredths)
-    to_come = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1
-    return met.filter(to_come * (100 + hundredths) >= (F.col("na") + F.col("nb")) * hundredths).select("a", "b").distinct()
+    order = within.orderBy("c", "shingle")
+    rows = rows.withColumn("place", F.row_number().over(order) + F.col("n") - F.count(F.lit(1)).over(within))
+    rows = rows.filter((F.col("place") <= F.col("n") - F.ceil(F.col("n") * hundredths / 100) + 1) & F.col("mixed"))
+    rows = rows.withColumn("before", F.collect_list("shingle").over(order.rowsBetween(-BEFORE, -1)))
+    rows = written(rows.select("node", "n", "shingle", "place", "component", "before"), "prefixes")
+    side = {s: rows.select("shingle", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "place", "component", "before")]) for s in "ab"}
+    na, nb = F.col("a_n"), F.col("b_n")
+    to_come = F.least(na - F.col("a_place"), nb - F.col("b_place")) + 1
+    meet = (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & (F.least(na, nb) * 100 >= F.greatest(na, nb) * hundredths)
+    meet = meet & (to_come * (100 + hundredths) >= (na + nb) * hundredths) & ~F.arrays_overlap("a_before", "b_before")
+    met = side["a"].join(side["b"], "shingle").filter(meet)
+    return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
 
 
 def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:

@@ -53,6 +53,30 @@ def test_components_match_brute_force(spark, width):
         assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (n, name, i == name)
 
 
+def test_one_large_group_of_near_copies(spark, monkeypatch):
+    """Variants of one text around the threshold: many components among which pairs must be looked for."""
+    rng = random.Random(21)
+    base = words(rng, 50)
+    texts = []
+    for _ in range(120):
+        w = list(base)
+        for k in rng.sample(range(50), rng.randint(2, 6)):
+            w[k] += rng.choice("xy")
+        texts.append(" ".join(w))
+    met = []
+
+    def counted(*args, join=neardup.prefix_pairs):
+        out = neardup.written(join(*args), "met")
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "prefix_pairs", counted)
+    got = {r.doc_id: r for r in neardup.near_duplicates(frame(spark, texts), width=4).collect()}
+    for i, (n, name) in enumerate(brute(list(range(120)), texts, 4)):
+        assert (got[i].n_shingles, got[i].component_id) == (n, name)
+    assert len({r.component_id for r in got.values()}) > 5 and met[0] > 0
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(1)
     for share in (0.5, 0.8, 0.95):
@@ -68,7 +92,9 @@ def test_sketches_merge_and_estimate():
     assert one.min() > 0 and none.max() == 0
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("small", [graph.SMALL, 0])
+def test_components_of_chains_and_stars(spark, monkeypatch, small):
+    monkeypatch.setattr(graph, "SMALL", small)
     edges = [(k, k + 1) for k in range(100, 160)] + [(5, k) for k in range(6, 40)] + [(70, 70), (80, 79)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 100 for k in range(100, 161)} | {k: 5 for k in range(5, 40)} | {79: 79, 80: 79}
