@@ -244,7 +244,9 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, most_contexts: int =
     anchors = written(docs.select("doc_id", "th", "text").mapInArrow(_anchors(length), ANCHORS), "anchors")
     here = F.struct("doc_id", "th", "lo")
     repeated = anchors.groupBy("ahash").agg(F.count(F.lit(1)).alias("c"), F.min("chash").alias("x"), F.max("chash").alias("y")).filter("c > 1")
-    seen = written(anchors.join(repeated.select("ahash", (F.col("x") != F.col("y")).alias("mixed")), "ahash"), "repeated")
+    # Counts are written before they meet the rows, so that the join shuffles two plain tables and a hot anchor is split.
+    repeated = written(repeated.select("ahash", (F.col("x") != F.col("y")).alias("mixed")), "repeated")
+    seen = written(anchors.join(repeated, "ahash"), "seen")
 
     per = seen.groupBy("ahash", "chash").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "th", "lo", "n", "o")).alias("first"), F.first("mixed").alias("mixed"))
     per = written(per, "contexts")
@@ -257,9 +259,8 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, most_contexts: int =
     many = sizes.filter(F.col("c") > most_contexts).select("ahash")
     few = contexts.join(many, "ahash", "left_anti").repartition("ahash").sortWithinPartitions("ahash")
     marked = few.mapInPandas(_suffix_batches(length), MARKED).union(_counted_windows(contexts.join(many, "ahash", "left_semi"), length))
-    marked = written(marked, "marked")
-
-    found = seen.join(per.select("ahash", "chash", "c", "first"), ["ahash", "chash"]).join(marked, ["ahash", "chash"], "left")
+    marked = written(per.select("ahash", "chash", "c", "first").join(marked, ["ahash", "chash"], "left"), "marked")
+    found = seen.join(marked, ["ahash", "chash"])
     whole = F.array(F.array(F.lit(0), F.col("n") - 1))
     none = F.array().cast("array<array<int>>")
     anywhere = F.when(F.col("c") > 1, whole).otherwise(F.coalesce("any_runs", none))
