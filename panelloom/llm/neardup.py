@@ -4,14 +4,14 @@ A document is its set of distinct word shingles.  Each shingle draws points of a
 point falls to a random register, and a register keeps the least point, on an exponentially spaced,
 truncated scale: registers of a union are the maxima of the registers, and they agree more often the more
 alike two sets are.  Bands of registers propose pairs; the joint likelihood of the register comparisons
-estimates the similarity of a pair; pairs that may reach the threshold are verified on their full sets.
+estimates the similarity of a pair, which says in what order pairs are verified on their full sets.
 
 How it stays linear where groups are large: documents with equal sets are one node.  In a bucket only
 pairs with its hub are proposed; in a few rounds every node verifies its likeliest pair that leads out of
 its component.  Pairs inside a component could not change the result and are not emitted.  Buckets that
 still hold several components are settled exactly: among their nodes all pairs across components that could
-reach the threshold are found by prefix filtering on rare shingles, estimated and verified, so no link
-between components is lost and members that only share a bucket are not paired.
+reach the threshold are found by prefix filtering on rare shingles and verified, whatever their estimate, so
+no link between components is lost and members that only share a bucket are not paired.
 
 With 42 bands of 6 registers a pair at similarity 0.8 shares a bucket with probability above 0.999998.
 
@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import ROW, bound_batches, packed, written
+from panelloom.llm.common import ROW, bound_batches, dropped, packed, written
 from panelloom.llm.graph import components
 from panelloom.llm.kernels import _ODD, U, counts_by_text, grams, joined, mix, words
 
@@ -41,7 +41,8 @@ ROWS, BANDS = 6, 42
 REGISTERS = ROWS * BANDS
 #: Register scale: base, rate and largest value.  With these no set of 1 to 10**8 shingles is cut off.
 BASE, RATE, TOP = 1.15, 20.0, 253
-#: Pairs whose estimate is below the threshold by more than this are not verified: 4.5 standard errors.
+#: Pairs with a hub whose estimate is below the threshold by more than this, 4.5 standard errors, are left to the
+#: exact join: their bucket stays open.
 SLACK = 0.11
 
 
@@ -173,15 +174,17 @@ class _Pairs:
         self.nodes, self.texts, self.width, self.threshold = nodes, texts, width, threshold
         self.least_estimating, self.least_verifying = 1 + nodes.count() // NODES_MET, 1 + texts.count() // TEXTS_MET
 
-    def likely(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, estimate) of the pairs that may reach the threshold."""
+    def likely(self, pairs: DataFrame, least: float = 0.0) -> DataFrame:
+        """(a, b, estimate) of the pairs whose sizes let them reach the threshold and whose estimate is ``least`` or more."""
         pairs = written(pairs.select("a", "b"), "pairs")
         tasks = max(self.least_estimating, 1 + pairs.count() // PAIRS_ESTIMATED)
         side = {s: self.nodes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}")) for s in "ab"}
         met = pairs.join(side["b"], "b").join(side["a"], "a")
         met = met.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * round(self.threshold * 100)).coalesce(tasks)
         estimate = F.pandas_udf(_estimated, "double").asNondeterministic()
-        return written(met.select("a", "b", estimate("sa", "sb", "na", "nb").alias("estimate")).filter(F.col("estimate") >= self.threshold - SLACK), "likely")
+        out = written(met.select("a", "b", estimate("sa", "sb", "na", "nb").alias("estimate")).filter(F.col("estimate") >= least), "likely")
+        dropped(pairs)
+        return out
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """(a, b, linked) by the full sets."""
@@ -189,7 +192,9 @@ class _Pairs:
         tasks = max(self.least_verifying, 1 + pairs.count() // PAIRS_VERIFIED)
         met = pairs.join(self.texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
         met = met.join(self.texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").coalesce(tasks)
-        return written(met.select("a", "b", _verified(self.width, self.threshold)("ta", "tb").alias("linked")), "links")
+        out = written(met.select("a", "b", _verified(self.width, self.threshold)("ta", "tb").alias("linked")), "links")
+        dropped(pairs)
+        return out
 
 
 def _shingled(width: int):
@@ -216,22 +221,25 @@ def prefix_pairs(texts: DataFrame, components_of: DataFrame, width: int, thresho
     """
     hundredths = round(threshold * 100)
     rows = texts.select("node", "text").mapInPandas(_shingled(width), "node long, n long, shingle long")
-    rows = written(rows.join(components_of, "node", "left").withColumn("component", F.coalesce("component", "node")), "shingles")
-    common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), (F.min("component") != F.max("component")).alias("mixed")).filter("c > 1")
-    rows = rows.join(common, "shingle")
+    every = written(rows.join(components_of, "node", "left").withColumn("component", F.coalesce("component", "node")), "shingles")
+    common = every.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), (F.min("component") != F.max("component")).alias("mixed")).filter("c > 1")
+    rows = every.join(common, "shingle")
     within = Window.partitionBy("node")
     order = within.orderBy("c", "shingle")
     rows = rows.withColumn("place", F.row_number().over(order) + F.col("n") - F.count(F.lit(1)).over(within))
     rows = rows.filter((F.col("place") <= F.col("n") - F.ceil(F.col("n") * hundredths / 100) + 1) & F.col("mixed"))
     rows = rows.withColumn("before", F.collect_list("shingle").over(order.rowsBetween(-BEFORE, -1)))
     rows = written(rows.select("node", "n", "shingle", "place", "component", "before"), "prefixes")
+    dropped(every)
     side = {s: rows.select("shingle", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "place", "component", "before")]) for s in "ab"}
     na, nb = F.col("a_n"), F.col("b_n")
     to_come = F.least(na - F.col("a_place"), nb - F.col("b_place")) + 1
     meet = (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & (F.least(na, nb) * 100 >= F.greatest(na, nb) * hundredths)
     meet = meet & (to_come * (100 + hundredths) >= (na + nb) * hundredths) & ~F.arrays_overlap("a_before", "b_before")
     met = side["a"].join(side["b"], "shingle").filter(meet)
-    return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+    out = written(met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), "prefix-pairs")
+    dropped(rows)
+    return out
 
 
 def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -269,7 +277,7 @@ def _grouped(docs: DataFrame, width: int, threshold: float) -> tuple[DataFrame,
     pairs = _Pairs(nodes, texts, width, threshold)
 
     # The hub is the least node of its bucket, so a < b here as in every table of pairs below.
-    star = pairs.likely(members.filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    star = pairs.likely(members.filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), threshold - SLACK)
     # A few of a node's likely hubs are enough to join most of a large group; what they miss is found below.
     few = star.groupBy("b", F.pmod(F.xxhash64("a"), F.lit(HUBS))).agg(F.max(F.struct("estimate", "a")).alias("m"))
     star = written(few.select("m.a", "b", "m.estimate"), "star")
@@ -287,6 +295,8 @@ def _grouped(docs: DataFrame, width: int, threshold: float) -> tuple[DataFrame,
     last = _across(rest, components(verified.filter("linked"))).join(verified, ["a", "b"], "left_anti")
     verified = verified.union(pairs.linked(last))
 
+    for unread in (members, texts, star, found, rest):  # the result needs none of them
+        dropped(unread)
     found = components(verified.filter("linked"))
     firsts = nodes.select("node", "first_id", F.coalesce("named_rep", "rep").alias("first_row"))
     return rows, firsts.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))

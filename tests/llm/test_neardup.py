@@ -53,6 +53,15 @@ def test_components_match_brute_force(spark, width):
         assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (n, name, i == name)
 
 
+def test_no_link_depends_on_the_estimate(spark, monkeypatch):
+    """No pair with a hub passes here, so that the exact join alone must find every link."""
+    monkeypatch.setattr(neardup, "SLACK", -1.0)
+    texts = corpus(random.Random(6))
+    got = {r.doc_id: r for r in neardup.near_duplicates(frame(spark, texts)).collect()}
+    for i, (n, name) in enumerate(brute(list(range(len(texts))), texts, 5)):
+        assert (got[i].n_shingles, got[i].component_id) == (n, name)
+
+
 def test_one_large_group_of_near_copies(spark, monkeypatch):
     """Variants of one text around the threshold: many components among which pairs must be looked for."""
     rng = random.Random(21)
