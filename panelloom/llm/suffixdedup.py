@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import bound_batches, written
+from panelloom.llm.common import bound_batches, dropped, written
 from panelloom.llm.kernels import _ODD, BYTE_CODE, U, joined, mix, powers
 
 LENGTH = 400
@@ -247,6 +247,8 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, most_contexts: int =
     # Counts are written before they meet the rows, so that the join shuffles two plain tables and a hot anchor is split.
     repeated = written(repeated.select("ahash", (F.col("x") != F.col("y")).alias("mixed")), "repeated")
     seen = written(anchors.join(repeated, "ahash"), "seen")
+    dropped(anchors)
+    dropped(repeated)
 
     per = seen.groupBy("ahash", "chash").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "th", "lo", "n", "o")).alias("first"), F.first("mixed").alias("mixed"))
     per = written(per, "contexts")
@@ -260,6 +262,8 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, most_contexts: int =
     few = contexts.join(many, "ahash", "left_anti").repartition("ahash").sortWithinPartitions("ahash")
     marked = few.mapInPandas(_suffix_batches(length), MARKED).union(_counted_windows(contexts.join(many, "ahash", "left_semi"), length))
     marked = written(per.select("ahash", "chash", "c", "first").join(marked, ["ahash", "chash"], "left"), "marked")
+    dropped(per)
+    dropped(contexts)
     found = seen.join(marked, ["ahash", "chash"])
     whole = F.array(F.array(F.lit(0), F.col("n") - 1))
     none = F.array().cast("array<array<int>>")
