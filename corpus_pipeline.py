@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from panelloom.llm import decontam, mixing, neardup, quality, sharding
-from panelloom.llm.common import table, written
+from panelloom.llm.common import dropped, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,5 +52,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"stage-{k}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{k}")
+        dropped(before)  # the first is the input, which is no scratch table
     return docs
