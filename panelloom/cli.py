@@ -73,6 +73,7 @@ def cmd_combined(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.mode == "walk_forward":
         result = blend.walk_forward(_prices(spark, args), args.signals, args.train_days, args.test_days, args.step_days, args.weight_step, **shared)
         values = {"overall_metrics": result.metrics.first().asDict(), "window_results": [r.asDict(True) for r in result.windows.orderBy("win").collect()]}
+        sinks.write_csv(sinks.train_test_table(result.windows), out / "train_test")
     else:
         result = blend.blend_equal_weight(_prices(spark, args), args.signals, rebalance=args.rebalance, **shared)
         values = result.metrics.first().asDict() | {"weights": result.weights_used, "mode": result.mode, "rebalance": args.rebalance}
@@ -84,6 +85,7 @@ def cmd_sweep(spark: SparkSession, args: argparse.Namespace) -> None:
     grid = search.sweep(_prices(spark, args), args.signal, args.lookbacks, args.grosses, args.cost_bps, args.impact_model).persist()
     best = search.best_cell(grid).first()
     sinks.write_csv(grid, Path(args.output_dir) / "sweep")
+    sinks.write_csv(sinks.sweep_matrix(grid, args.grosses), Path(args.output_dir) / "sweep_matrix")
     _show({"best": best.asDict() if best else None}, Path(args.output_dir) / "sweep.json")
 
 

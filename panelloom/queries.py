@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelloom import oracle as o
+from panelloom import sinks
 from panelloom.functions.windows import ewm_std
 from panelloom.operators import crossval, fracdiff, labels, metrics, model, portfolio, risk, signals, simulate
 from panelloom.plans import backtest as bt
@@ -370,6 +371,23 @@ def wf_stitched(spark, sf_dir):
     return days(result.daily, "net", "equity")
 
 
+_OF_WINDOW = "SELECT pos // 1000000 AS win, CASE WHEN stddev_samp(net) > 1e-12 THEN avg(net) / stddev_samp(net) ELSE 0.0 END AS s FROM wf_test_sim GROUP BY 1"
+
+
+@query(
+    "wf_train_test",
+    o.render(
+        "SELECT win::INT AS win, sample, round(s * sqrt(252), 6) + 0.0 AS sharpe FROM (SELECT w.win, 'train' AS sample, max(t.s) AS s "
+        f"FROM wf_win w LEFT JOIN wf_tried t ON t.run // 100 = w.win GROUP BY 1 UNION ALL SELECT win, 'test', s FROM ({_OF_WINDOW}))",
+        "wf_win", "wf_tried", "wf_test_sim",
+    ),
+)
+def wf_train_test(spark, sf_dir):
+    """The best training Sharpe ratio of each window beside that of its test slice."""
+    result = blend.walk_forward(panels.line_smooth(spark, sf_dir), _BLEND[:2], weight_step=0.25, risk=risk.RiskConfig())
+    return rounded(sinks.train_test_table(result.windows))
+
+
 # --- cross-validation and search
 
 
@@ -421,6 +439,11 @@ def sweep(spark, sf_dir):
     return rounded(search.sweep(panels.line_smooth(spark, sf_dir), "momentum", [10, 20], [0.5, 1.0]))
 
 
+@query("sweep_matrix", f"SELECT lookback, max(CASE WHEN max_gross = 0.5 THEN sharpe END) AS gross_0_5, max(CASE WHEN max_gross = 1.0 THEN sharpe END) AS gross_1_0 FROM ({_sweep_sql()}) GROUP BY lookback")
+def sweep_matrix(spark, sf_dir):
+    return rounded(sinks.sweep_matrix(search.sweep(panels.line_smooth(spark, sf_dir), "momentum", [10, 20], [0.5, 1.0]), [0.5, 1.0]))
+
+
 @query("optimize_ewma", o.render("SELECT place, round(avg(sharpe), 6) + 0.0 AS mean, round(median(sharpe), 6) + 0.0 AS median FROM (SELECT 0::INT AS place, sharpe FROM span10_f UNION ALL SELECT 1::INT, sharpe FROM span20_f) GROUP BY place", "span10_f", "span20_f"))
 def optimize_ewma(spark, sf_dir):
     return rounded(search.optimize_ewma(panels.line_smooth(spark, sf_dir), [10, 20]).scores)
@@ -440,6 +463,29 @@ def tb_labels(spark, sf_dir):
     return labels.triple_barrier(panels.line_smooth(spark, sf_dir)).select("asset", day("t0").alias("t0"), day("t1").alias("t1"), "y")
 
 
+_ANY_SPAN = "SELECT asset, t0, CASE pos % 3 WHEN 0 THEN t0 ELSE t1 END AS t1, pt * 1.01 AS pt, sl FROM bar_ev"
+_TOUCHES = (
+    "SELECT e.asset, e.t0, e.t1, min(CASE WHEN v.price >= e.pt THEN v.ts END) AS up, min(CASE WHEN v.price <= e.sl THEN v.ts END) AS down, arg_min(v.price, v.ts) AS p0, arg_max(v.price, v.ts) AS p1 "
+    f"FROM ({_ANY_SPAN}) e LEFT JOIN vols v ON v.asset = e.asset AND v.price IS NOT NULL AND v.ts BETWEEN e.t0 AND e.t1 GROUP BY ALL"
+)
+
+
+@query(
+    "label_events",
+    o.render(
+        f"SELECT asset, {o.day('t0')} AS t0, {o.day('t1')} AS t1, CASE WHEN t1 <= t0 THEN 0 WHEN up IS NOT NULL AND (down IS NULL OR up <= down) THEN 1 "
+        f"WHEN down IS NOT NULL THEN -1 ELSE sign(p1 - p0) END::INT AS y FROM ({_TOUCHES})",
+        "bar_ev", "vols",
+    ),
+)
+def label_events(spark, sf_dir):
+    """Events of unequal spans and barriers: every third ends where it begins, the upper barrier is raised."""
+    panel = panels.line_smooth(spark, sf_dir)
+    t1 = F.when(F.col("pos") % 3 == 0, F.col("t0")).otherwise(F.col("t1"))
+    events = labels.barrier_events(panel, 5).select("asset", "t0", t1.alias("t1"), (F.col("pt") * 1.01).alias("pt"), "sl")
+    return labels.label_events(panel, events).select("asset", day("t0").alias("t0"), day("t1").alias("t1"), "y")
+
+
 @query("meta_labels", o.render(f"SELECT asset, {o.day('t0')} AS t0, round(realised, 6) + 0.0 AS realised, CASE WHEN y <> 0 AND sign(realised) = y THEN 1 ELSE 0 END::INT AS meta FROM labels_y", "labels_y"))
 def meta_labels(spark, sf_dir):
     out = labels.meta_labels(labels.triple_barrier(panels.line_smooth(spark, sf_dir)))

@@ -45,6 +45,18 @@ def plot_tables(daily: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def train_test_table(windows: DataFrame) -> DataFrame:
+    """(win, sample, sharpe): the two bars of each walk-forward window, "train" and "test"."""
+    bars = F.array(*[F.struct(F.lit(n).alias("sample"), F.col(c).alias("sharpe")) for n, c in (("train", "train_sharpe"), ("test", "oos_sharpe"))])
+    return windows.select("win", F.explode(bars).alias("bar")).select("win", "bar.sample", "bar.sharpe")
+
+
+def sweep_matrix(grid: DataFrame, grosses: list[float]) -> DataFrame:
+    """One row per lookback of a sweep and a column ``gross_<g>`` of Sharpe ratios per gross, points as underscores."""
+    cells = [F.max(F.when(F.col("max_gross") == g, F.col("sharpe"))).alias(f"gross_{g}".replace(".", "_")) for g in map(float, grosses)]
+    return grid.groupBy("lookback").agg(*cells)
+
+
 def write_prices(panel: DataFrame, folder: str | Path) -> dict:
     """Prices as wide CSV, and what is missing per asset as metadata.json."""
     folder = Path(folder)

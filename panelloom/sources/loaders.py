@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -59,11 +59,10 @@ def csv_prices(spark: SparkSession, path: str, date: str = "Date") -> DataFrame:
 
 
 class MarketReader(DataSourceReader):
-    """One partition per ticker; ``fetch`` gives (date, price) rows and is set by who has a market feed."""
+    """One partition per ticker; ``fetch(ticker, start, end)`` gives (date, price) rows."""
 
-    fetch = None
-
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, fetch: Callable | None = None):
+        self.fetch = fetch
         self.tickers = [t for t in options.get("tickers", "").split(",") if t]
         self.start, self.end = options.get("start"), options.get("end")
 
@@ -71,9 +70,9 @@ class MarketReader(DataSourceReader):
         return [InputPartition(t) for t in self.tickers]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        if type(self).fetch is None:
-            raise RuntimeError("no market feed is installed; set MarketReader.fetch(ticker, start, end)")
-        for day, price in type(self).fetch(partition.value, self.start, self.end):
+        if self.fetch is None:
+            raise RuntimeError("no market feed is installed; give fetch(ticker, start, end)")
+        for day, price in self.fetch(partition.value, self.start, self.end):
             yield partition.value, day, float(price)
 
 
@@ -91,11 +90,21 @@ class MarketSource(DataSource):
         return MarketReader(self.options)
 
 
-def market_prices(spark: SparkSession, tickers: list[str], start: str, end: str, drop_gaps: bool = True) -> DataFrame:
-    """Adjusted closes by the installed feed; dates on which an asset has no price drop out."""
+def market_source(fetch: Callable | None = None) -> type[DataSource]:
+    """The source with a feed; a class made here is sent to the workers together with ``fetch``."""
+
+    class Fed(MarketSource):
+        def reader(self, schema) -> MarketReader:
+            return MarketReader(self.options, fetch)
+
+    return Fed
+
+
+def market_prices(spark: SparkSession, tickers: list[str], start: str, end: str, drop_gaps: bool = True, fetch: Callable | None = None) -> DataFrame:
+    """Adjusted closes by the feed ``fetch``; dates on which an asset has no price drop out."""
     from panelloom.sources.panels import dense_panel
 
-    spark.dataSource.register(MarketSource)
+    spark.dataSource.register(market_source(fetch))
     rows = spark.read.format("market").options(tickers=",".join(tickers), start=start, end=end).load()
     panel = dense_panel(rows, F.col("asset"), F.col("ts"), F.col("price"))
     if not drop_gaps:
@@ -104,10 +113,10 @@ def market_prices(spark: SparkSession, tickers: list[str], start: str, end: str,
     return panel.join(full, "ts", "left_semi").withColumn("pos", F.row_number().over(Window.partitionBy("asset").orderBy("ts")).cast("long") - 1)
 
 
-def load_prices(spark: SparkSession, csv: str | None = None, tickers: list[str] | None = None, start: str = "2018-01-01", end: str = "2023-12-31", **synthetic) -> DataFrame:
+def load_prices(spark: SparkSession, csv: str | None = None, tickers: list[str] | None = None, start: str = "2018-01-01", end: str = "2023-12-31", fetch: Callable | None = None, **synthetic) -> DataFrame:
     """CSV before tickers before generated prices."""
     if csv:
         return csv_prices(spark, csv)
     if tickers:
-        return market_prices(spark, tickers, start, end)
+        return market_prices(spark, tickers, start, end, fetch=fetch)
     return synthetic_prices(spark, **synthetic)

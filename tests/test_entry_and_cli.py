@@ -25,7 +25,7 @@ def test_entry_runs(spark):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["panel_dense", "clean_sparse", "sig_momentum", "w_weekly", "missing_counts", "folds_kfold", "weight_grid"])
+@pytest.mark.parametrize("name", ["panel_dense", "clean_sparse", "sig_momentum", "w_weekly", "missing_counts", "folds_kfold", "weight_grid", "label_events", "sweep_matrix"])
 def test_queries_match_sql(spark, name):
     import duckdb
 
@@ -58,6 +58,14 @@ def test_csv_and_generated_prices(spark, tmp_path):
 def test_market_source(spark):
     with pytest.raises(Exception, match="no market feed"):
         loaders.market_prices(spark, ["A"], "2020-01-01", "2020-02-01").count()
+    def fetch(ticker, start, end):
+        import datetime
+
+        first = datetime.date.fromisoformat(start)
+        return [(first + datetime.timedelta(k), 10.0 * k) for k in range(3) if ticker == "A" or k != 1]
+
+    rows = loaders.market_prices(spark, ["A", "B"], "2020-01-01", "2020-02-01", fetch=fetch).orderBy("asset", "pos").collect()
+    assert [(r.asset, str(r.ts), r.pos, r.price) for r in rows] == [(a, d, p, x) for a in "AB" for d, p, x in (("2020-01-01", 0, 0.0), ("2020-01-03", 1, 20.0))]
     assert set(loaders.UNIVERSES) == {"faang", "mag7", "sp500_top10", "sectors_etf"}
 
 
@@ -68,6 +76,15 @@ def test_commands(spark, tmp_path, capsys, command):
     assert any(tmp_path.rglob("*.json")) and (command[0] in ("cv", "passive") or any(tmp_path.rglob("*.csv")))
 
 
+def test_walk_forward_and_example_commands(spark, tmp_path, capsys):
+    cli.main(["combined", "--mode", "walk_forward", "--signals", "momentum", "volatility", "--train-days", "60", "--test-days", "30", "--step-days", "30", "--weight-step", "0.5", "--no-risk", "--names", "4", "--days", "120", "--output-dir", str(tmp_path)])
+    windows = json.loads(capsys.readouterr().out)["window_results"]
+    bars = spark.read.csv(str(tmp_path / "train_test"), header=True).collect()
+    assert sorted((int(r.win), r["sample"]) for r in bars) == [(w["win"], s) for w in windows for s in ("test", "train")]
+    cli.main(["example"])
+    assert json.loads(capsys.readouterr().out)
+
+
 def test_command_errors(spark):
     with pytest.raises(SystemExit):
         cli.main(["run", "--signal", "nothing"])
