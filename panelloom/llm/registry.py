@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import chat, decontam, mixing, neardup, pii, quality, sharding, suffixdedup, toxicity, warc
+from panelloom.llm import chat, decontam, mixing, neardup, pii, quality, runs, sharding, suffixdedup, toxicity, warc
 from panelloom.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
 
+def op11_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.runs_report(runs.with_periodic_tails(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_boosted_pii": op1_boosted_pii,
     "op2_string_tiling": op2_string_tiling,
@@ -68,6 +72,7 @@ QUERIES = {
     "op8_decision_list": op8_decision_list,
     "op9_warc_transactions": op9_warc_transactions,
     "op10_source_mix": op10_source_mix,
+    "op11_lyndon_runs": op11_lyndon_runs,
 }
 
 SQL = {"op4_preference_format": chat.CHAT_SQL, "op9_warc_transactions": warc.WARC_SQL, "op10_source_mix": mixing.MIX_SQL}
