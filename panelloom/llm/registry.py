@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import chat, decontam, mixing, neardup, pii, quality, runs, sharding, suffixdedup, toxicity, warc
+from panelloom.llm import chat, decontam, mixing, neardup, packing, pii, prefixtrie, quality, runs, sharding, suffixdedup, toxicity, warc
 from panelloom.llm.common import table
 
 
@@ -61,6 +61,16 @@ def op11_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.runs_report(runs.with_periodic_tails(table(spark, sf_dir, "documents")))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie_report(table(spark, sf_dir, "conversations"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")))
+
+
 QUERIES = {
     "op1_boosted_pii": op1_boosted_pii,
     "op2_string_tiling": op2_string_tiling,
@@ -73,6 +83,8 @@ QUERIES = {
     "op9_warc_transactions": op9_warc_transactions,
     "op10_source_mix": op10_source_mix,
     "op11_lyndon_runs": op11_lyndon_runs,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
 
-SQL = {"op4_preference_format": chat.CHAT_SQL, "op9_warc_transactions": warc.WARC_SQL, "op10_source_mix": mixing.MIX_SQL}
+SQL = {"op4_preference_format": chat.CHAT_SQL, "op9_warc_transactions": warc.WARC_SQL, "op10_source_mix": mixing.MIX_SQL, "op12_prefix_trie": prefixtrie.TRIE_SQL}
