@@ -49,17 +49,46 @@ def triple_barrier(panel: DataFrame, horizon: int = 5, pt_sl: tuple[float, float
     return events.select("asset", "pos", "t0", "t1", _label(up, down, F.col("p0"), F.col("p1")).alias("y"), "p0", "p1")
 
 
-def label_events(panel: DataFrame, events: DataFrame) -> DataFrame:
-    """Labels for events (asset, t0, t1, pt, sl) of any span, by a range join with the prices."""
-    at = panel.filter("price is not null").select(F.col("asset").alias("a"), "ts", "price")
-    path = events.join(at, (F.col("asset") == F.col("a")) & F.col("ts").between(F.col("t0"), F.col("t1")), "left")
-    out = path.groupBy("asset", "t0", "t1").agg(
-        F.min(F.when(F.col("price") >= F.col("pt"), F.col("ts"))).alias("up"),
-        F.min(F.when(F.col("price") <= F.col("sl"), F.col("ts"))).alias("down"),
-        F.min_by("price", "ts").alias("p0"), F.max_by("price", "ts").alias("p1"),
+def label_events(panel: DataFrame, events: DataFrame, bucket_days: float = 90) -> DataFrame:
+    """(event_id, asset, t0, t1, y) for events (event_id, asset, t0, t1, pt, sl) of any span and number.
+
+    An interval join over buckets of time.  Prices are summed up per (asset, bucket): greatest, least, first
+    and last.  An event meets the sums of the buckets that lie inside its span, which tell the first of them
+    that touches a barrier, and meets single prices in that one and in the buckets of its two ends only.  So
+    an event costs its buckets and the prices of three of them, and an asset's rows spread over its buckets.
+
+    Each event_id is labelled by itself.  y is 0 where t1 is not after t0, where no price lies in the span, or
+    where the price ends where it began; 1 or -1 for the barrier touched first (the upper one on the same date), else
+    the sign of the move.  Null prices and barriers touch nothing; an event with a null asset, t0 or t1 gets 0.
+    """
+    if bucket_days <= 0:
+        raise ValueError("bucket_days must be positive")
+    if "event_id" not in events.columns:
+        raise KeyError("events lack event_id")
+    width = float(bucket_days * 86400)
+    bucket = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / width)
+    tick = F.struct("ts", "price")
+    at = panel.filter("price is not null").select("asset", "ts", "price", bucket("ts").alias("bucket"))
+    sums = at.groupBy("asset", "bucket").agg(F.max("price").alias("high"), F.min("price").alias("low"), F.min(tick).alias("head"), F.max(tick).alias("tail"))
+    ev = events.select("event_id", "asset", "t0", "t1", "pt", "sl", bucket("t0").alias("b0"), bucket("t1").alias("b1"))
+    real = ev.filter("t0 < t1")
+    inner = real.filter("b1 - b0 > 1").select("event_id", "asset", "pt", "sl", F.explode(F.sequence(F.col("b0") + 1, F.col("b1") - 1)).alias("bucket"))
+    touched = (F.col("high") >= F.col("pt")) | (F.col("low") <= F.col("sl"))
+    inner = inner.join(sums, ["asset", "bucket"]).groupBy("event_id").agg(
+        F.min(F.when(touched, F.col("bucket"))).alias("hit"), F.min("head").alias("head"), F.max("tail").alias("tail")
+    )
+    spans = real.join(inner, "event_id", "left")
+    looked = F.array_compact(F.array_distinct(F.array("b0", "b1", "hit")))
+    rows = spans.select("event_id", "asset", "t0", "t1", "pt", "sl", F.explode(looked).alias("bucket"))
+    rows = rows.join(at, ["asset", "bucket"]).filter(F.col("ts").between(F.col("t0"), F.col("t1")))
+    seen = rows.groupBy("event_id").agg(
+        F.min(F.when(F.col("price") >= F.col("pt"), F.col("ts"))).alias("up"), F.min(F.when(F.col("price") <= F.col("sl"), F.col("ts"))).alias("down"),
+        F.min(tick).alias("first"), F.max(tick).alias("last"),
     )
-    y = F.when((F.col("t1") <= F.col("t0")) | F.col("p0").isNull(), F.lit(0)).otherwise(_label(F.col("up"), F.col("down"), F.col("p0"), F.col("p1")))
-    return out.select("asset", "t0", "t1", y.alias("y"))
+    out = ev.join(inner.select("event_id", "head", "tail"), "event_id", "left").join(seen, "event_id", "left")
+    first, last = F.least("first", "head"), F.greatest("last", "tail")
+    y = F.coalesce(_label(F.col("up"), F.col("down"), first["price"], last["price"]), F.lit(0))
+    return out.select("event_id", "asset", "t0", "t1", y.alias("y"))
 
 
 def realised(labels: DataFrame) -> DataFrame:

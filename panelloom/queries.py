@@ -463,9 +463,10 @@ def tb_labels(spark, sf_dir):
     return labels.triple_barrier(panels.line_smooth(spark, sf_dir)).select("asset", day("t0").alias("t0"), day("t1").alias("t1"), "y")
 
 
-_ANY_SPAN = "SELECT asset, t0, CASE pos % 3 WHEN 0 THEN t0 ELSE t1 END AS t1, pt * 1.01 AS pt, sl FROM bar_ev"
+_SPAN = "SELECT asset || ':' || pos || ':{0}' AS event_id, asset, t0, CASE pos % 3 WHEN 0 THEN t0 WHEN 1 THEN t1 ELSE t0 + 400 END AS t1, pt * {1} AS pt, sl * {2} AS sl FROM bar_ev"
+_ANY_SPAN = _SPAN.format("a", 1.01, 1.0) + " UNION ALL " + _SPAN.format("b", 1.2, 1.005)
 _TOUCHES = (
-    "SELECT e.asset, e.t0, e.t1, min(CASE WHEN v.price >= e.pt THEN v.ts END) AS up, min(CASE WHEN v.price <= e.sl THEN v.ts END) AS down, arg_min(v.price, v.ts) AS p0, arg_max(v.price, v.ts) AS p1 "
+    "SELECT e.event_id, e.asset, e.t0, e.t1, min(CASE WHEN v.price >= e.pt THEN v.ts END) AS up, min(CASE WHEN v.price <= e.sl THEN v.ts END) AS down, arg_min(v.price, v.ts) AS p0, arg_max(v.price, v.ts) AS p1 "
     f"FROM ({_ANY_SPAN}) e LEFT JOIN vols v ON v.asset = e.asset AND v.price IS NOT NULL AND v.ts BETWEEN e.t0 AND e.t1 GROUP BY ALL"
 )
 
@@ -473,17 +474,19 @@ _TOUCHES = (
 @query(
     "label_events",
     o.render(
-        f"SELECT asset, {o.day('t0')} AS t0, {o.day('t1')} AS t1, CASE WHEN t1 <= t0 THEN 0 WHEN up IS NOT NULL AND (down IS NULL OR up <= down) THEN 1 "
+        f"SELECT event_id, asset, {o.day('t0')} AS t0, {o.day('t1')} AS t1, CASE WHEN t1 <= t0 THEN 0 WHEN up IS NOT NULL AND (down IS NULL OR up <= down) THEN 1 "
         f"WHEN down IS NOT NULL THEN -1 ELSE sign(p1 - p0) END::INT AS y FROM ({_TOUCHES})",
         "bar_ev", "vols",
     ),
 )
 def label_events(spark, sf_dir):
-    """Events of unequal spans and barriers: every third ends where it begins, the upper barrier is raised."""
+    """Events of unequal spans, two with different barriers on each: a third end where they begin, a third 400 days on."""
     panel = panels.line_smooth(spark, sf_dir)
-    t1 = F.when(F.col("pos") % 3 == 0, F.col("t0")).otherwise(F.col("t1"))
-    events = labels.barrier_events(panel, 5).select("asset", "t0", t1.alias("t1"), (F.col("pt") * 1.01).alias("pt"), "sl")
-    return labels.label_events(panel, events).select("asset", day("t0").alias("t0"), day("t1").alias("t1"), "y")
+    t1 = F.when(F.col("pos") % 3 == 0, F.col("t0")).when(F.col("pos") % 3 == 1, F.col("t1")).otherwise(F.date_add("t0", 400))
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(u).alias("up"), F.lit(d).alias("down")) for k, u, d in (("a", 1.01, 1.0), ("b", 1.2, 1.005))])).alias("k")
+    events = labels.barrier_events(panel, 5).withColumn("t1", t1).select("asset", "pos", "t0", "t1", "pt", "sl", kinds)
+    events = events.select(F.concat_ws(":", "asset", "pos", "k.kind").alias("event_id"), "asset", "t0", "t1", (F.col("pt") * F.col("k.up")).alias("pt"), (F.col("sl") * F.col("k.down")).alias("sl"))
+    return labels.label_events(panel, events).select("event_id", "asset", day("t0").alias("t0"), day("t1").alias("t1"), "y")
 
 
 @query("meta_labels", o.render(f"SELECT asset, {o.day('t0')} AS t0, round(realised, 6) + 0.0 AS realised, CASE WHEN y <> 0 AND sign(realised) = y THEN 1 ELSE 0 END::INT AS meta FROM labels_y", "labels_y"))

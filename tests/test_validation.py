@@ -89,7 +89,7 @@ def test_triple_barrier_both_forms(spark):
     for a in w:
         assert {r.pos: r.y for r in got.filter(F.col("asset") == a).collect()} == brute_labels(w[a], 20, 5)
     ev = labels.barrier_events(df, 5, span=20).filter("t0 < t1")
-    joined = labels.label_events(df, ev).select("asset", "t0", "y")
+    joined = labels.label_events(df, ev.withColumn("event_id", F.struct("asset", "pos"))).select("asset", "t0", "y")
     assert sorted(joined.collect()) == sorted(got.select("asset", "t0", "y").collect())
     meta = labels.meta_labels(got).toPandas()
     assert ((meta["y"] != 0) & (np.sign(meta["realised"]) == meta["y"])).astype(int).tolist() == meta["meta"].tolist()
@@ -97,6 +97,38 @@ def test_triple_barrier_both_forms(spark):
         labels.barrier_events(df, 0)
 
 
+@pytest.mark.parametrize("bucket_days", [3, 10, 400])
+def test_event_labels_equal_a_loop(spark, bucket_days):
+    """Spans of any length, some sharing asset and dates, some outside the prices, null barriers, gaps in the prices."""
+    rng = np.random.default_rng(bucket_days)
+    w = walk(150, 2, 8)
+    w[rng.random(w.shape) < 0.2] = np.nan
+    rows = []
+    for k in range(240):
+        a, lo = f"A{k % 3}", int(rng.integers(-10, 155))
+        pt, sl = (None if rng.random() < 0.1 else float(100 + s * rng.uniform(0, 40)) for s in (1, -1))
+        rows += [(k, a, lo, lo + int(rng.integers(-3, 120)), pt, sl)]
+    rows += [(900, "A0", 5, 100, 102.0, 60.0), (901, "A0", 5, 100, 500.0, 99.5), (902, None, 5, 100, 1.0, 1.0), (903, "A0", None, 9, 1.0, 1.0)]
+    start = w.index[0]
+    day = lambda k: None if k is None else (start + pd.Timedelta(days=k)).date()
+    want = {}
+    for k, a, lo, hi, pt, sl in rows:
+        path = w[a].loc[pd.Timestamp(day(lo)) : pd.Timestamp(day(hi))].dropna() if a in w and lo is not None else pd.Series(dtype=float)
+        y = 0
+        if len(path) and lo < hi:
+            y = int(np.sign(path.iloc[-1] - path.iloc[0]))
+            for price in path:
+                if pt is not None and price >= pt or sl is not None and price <= sl:
+                    y = 1 if pt is not None and price >= pt else -1
+                    break
+        want[k] = y
+    ev = spark.createDataFrame([(k, a, day(lo), day(hi), pt, sl) for k, a, lo, hi, pt, sl in rows], "event_id long, asset string, t0 date, t1 date, pt double, sl double")
+    got = labels.label_events(panel(spark, w), ev, bucket_days).collect()
+    assert len(got) == len(rows) and {r.event_id: r.y for r in got} == want
+    with pytest.raises(KeyError):
+        labels.label_events(panel(spark, w), ev.drop("event_id"))
+
+
 def test_features_do_not_look_ahead(spark):
     w = walk(60, 2, 7)
     full = labels.build_features(panel(spark, w), 5, 10)
