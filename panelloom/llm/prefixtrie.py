@@ -194,8 +194,8 @@ WITH t AS (
   FROM conversations WHERE conv_id IS NOT NULL),
 ids AS (
   SELECT conv_id, conv_id - (conv_id % 20 + 20) % 20 AS base, count(*) AS n,
-    xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), c -> ord(c)::BIGINT)),
-      (x, y) -> list_reduce([xor(x, y), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], (a, b) -> {_STEP})), 4294967295::BIGINT) % 4 AS h
+    xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+      lambda x, y: list_reduce([xor(x, y), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda a, b: {_STEP})), 4294967295::BIGINT) % 4 AS h
   FROM t GROUP BY conv_id),
 heads AS (SELECT ids.*, least(ids.h, coalesce(b.n, 0)) AS head FROM ids LEFT JOIN ids b ON b.conv_id = ids.base),
 turns AS (
