@@ -85,27 +85,32 @@ def total(x: Column) -> Column:
     return F.coalesce(F.sum(x), F.lit(0.0))
 
 
-def decayed_sum(df: DataFrame, name: str, x: Column, q: float, parts: list[str]) -> DataFrame:
+def decayed_sum(df: DataFrame, name: str, x: Column, q: float | Column, parts: list[str]) -> DataFrame:
     """Adds ``name``: sum over rows j up to k of q**(k-j) * x_j, NULL counting as 0, along ``pos``.
 
     Weights are scaled inside blocks so long that what lies before the previous block weighs under 1e-60;
-    no block overflows, however long the series, and both sums are built-in window aggregates.
+    no block overflows, however long the series, and both sums are built-in window aggregates.  ``q`` may be
+    a column that is one value in each of ``parts``, so that many decays are one plan.
     """
-    block = max(2, math.ceil(60 * math.log(10) / -math.log(q)))
+    q = q if isinstance(q, Column) else F.lit(q)
+    block = F.greatest(F.lit(2), F.ceil(60 * math.log(10) / -F.ln(q)))
     series = Window.partitionBy(*parts).orderBy("pos")
     df = df.withColumn("__k", F.row_number().over(series) - 1).withColumn("__block", F.floor(F.col("__k") / block))
     inner = Window.partitionBy(*parts, "__block").orderBy("pos")
     at = (F.col("__k") - F.col("__block") * block).cast("double")
-    scaled = F.coalesce(x, F.lit(0.0)) * F.pow(F.lit(q), -at)
-    df = df.withColumn("__in", F.sum(scaled).over(running(inner)) * F.pow(F.lit(q), at))
+    scaled = F.coalesce(x, F.lit(0.0)) * F.pow(q, -at)
+    df = df.withColumn("__in", F.sum(scaled).over(running(inner)) * F.pow(q, at))
     before = Window.partitionBy(*parts).orderBy("__block").rangeBetween(-1, -1)
     end = F.max(F.struct("__k", "__in")).over(before)["__in"]
-    df = df.withColumn(name, F.col("__in") + F.coalesce(end * F.pow(F.lit(q), at + 1), F.lit(0.0)))
+    df = df.withColumn(name, F.col("__in") + F.coalesce(end * F.pow(q, at + 1), F.lit(0.0)))
     return df.drop("__k", "__block", "__in")
 
 
-def ewm_mean(df: DataFrame, name: str, x: str, span: int, parts: list[str]) -> DataFrame:
-    """Exponential mean from the first value on: y = (1-a) y' + a x, a = 2 / (span + 1); series without gaps."""
+def ewm_mean(df: DataFrame, name: str, x: str, span: int | Column, parts: list[str]) -> DataFrame:
+    """Exponential mean from the first value on: y = (1-a) y' + a x, a = 2 / (span + 1); series without gaps.
+
+    ``span`` may be a column that is one value in each of ``parts``.
+    """
     a = 2 / (span + 1)
     first = F.count(x).over(running(Window.partitionBy(*parts).orderBy("pos"))) == 1
     df = df.withColumn("__x", F.when(first, F.col(x)).otherwise(F.col(x) * a))
@@ -138,6 +143,18 @@ def ewm_std(df: DataFrame, name: str, x: str, span: int, parts: list[str]) -> Da
     return df.withColumn(name, F.when(k >= 1, F.sqrt(variance))).drop("__m", "__sq", "__m2")
 
 
+def block_sums(df: DataFrame, sums: dict[str, Column], *keys: str, size: int = 65536) -> DataFrame:
+    """Adds running sums along ``pos`` within ``keys``, by two levels: inside blocks of ``size`` positions, and over
+    the blocks' totals, so that one long series is many tasks.  Only the totals, a row per block, meet in one."""
+    df = df.withColumn("__block", F.floor(F.col("pos") / size))
+    totals = df.groupBy(*keys, "__block").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "__block", *[F.sum(n).over(before).alias(f"__{n}") for n in sums])
+    inner = running(Window.partitionBy(*keys, "__block").orderBy("pos"))
+    out = df.withColumns({n: F.sum(c).over(inner) for n, c in sums.items()}).join(offsets, [*keys, "__block"])
+    return out.withColumns({n: F.col(n) + F.coalesce(f"__{n}", F.lit(0)) for n in sums}).drop("__block", *[f"__{n}" for n in sums])
+
+
 def convolved(x: Column, kernel: list[float], w: WindowSpec) -> Column:
     """Causal filter: sum of kernel[j] * x[t-j]; NULL until the window is full or while it holds a NULL."""
     n = len(kernel)

@@ -82,6 +82,22 @@ def fold_returns(daily: DataFrame, events: DataFrame, cv: PurgedKFold) -> DataFr
     return daily.join(tests, "ts").select("split", "pos", "ts", "net")
 
 
+def position_folds(daily: DataFrame, n_splits: int, horizon: int, *keys: str) -> DataFrame:
+    """Rows of ``daily`` with split, the fold whose test event starts there, from positions alone.
+
+    The same folds as :func:`fold_returns` gives for the events of a dense panel: dates are numbered without
+    gaps, the last ``horizon`` start no event, and the first folds are longer by one where it does not divide.
+    """
+    if horizon < 1:
+        raise ValueError("horizon must be at least 1")
+    n = F.max("pos").over(Window.partitionBy(*keys)) + 1 - horizon
+    df = daily.withColumn("__n", n).filter("pos < __n")
+    size, longer = F.floor(F.col("__n") / n_splits), F.col("__n") % n_splits
+    cut = longer * (size + 1)
+    fold = F.when(F.col("pos") < cut, F.floor(F.col("pos") / (size + 1))).otherwise(longer + F.floor((F.col("pos") - cut) / F.greatest(size, F.lit(1))))
+    return df.withColumn("split", fold.cast("int")).drop("__n")
+
+
 def cv_summary(scores: DataFrame, name: str = "sharpe") -> DataFrame:
     """Mean, population deviation, median, least, greatest and number of fold scores."""
     return scores.agg(

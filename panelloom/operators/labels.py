@@ -71,24 +71,21 @@ def label_events(panel: DataFrame, events: DataFrame, bucket_days: float = 90) -
     at = panel.filter("price is not null").select("asset", "ts", "price", bucket("ts").alias("bucket"))
     sums = at.groupBy("asset", "bucket").agg(F.max("price").alias("high"), F.min("price").alias("low"), F.min(tick).alias("head"), F.max(tick).alias("tail"))
     ev = events.select("event_id", "asset", "t0", "t1", "pt", "sl", bucket("t0").alias("b0"), bucket("t1").alias("b1"))
-    real = ev.filter("t0 < t1")
-    inner = real.filter("b1 - b0 > 1").select("event_id", "asset", "pt", "sl", F.explode(F.sequence(F.col("b0") + 1, F.col("b1") - 1)).alias("bucket"))
+    inner = ev.filter("b1 - b0 > 1").select("event_id", "asset", "pt", "sl", F.explode(F.sequence(F.col("b0") + 1, F.col("b1") - 1)).alias("bucket"))
     touched = (F.col("high") >= F.col("pt")) | (F.col("low") <= F.col("sl"))
     inner = inner.join(sums, ["asset", "bucket"]).groupBy("event_id").agg(
         F.min(F.when(touched, F.col("bucket"))).alias("hit"), F.min("head").alias("head"), F.max("tail").alias("tail")
     )
-    spans = real.join(inner, "event_id", "left")
     looked = F.array_compact(F.array_distinct(F.array("b0", "b1", "hit")))
-    rows = spans.select("event_id", "asset", "t0", "t1", "pt", "sl", F.explode(looked).alias("bucket"))
-    rows = rows.join(at, ["asset", "bucket"]).filter(F.col("ts").between(F.col("t0"), F.col("t1")))
-    seen = rows.groupBy("event_id").agg(
-        F.min(F.when(F.col("price") >= F.col("pt"), F.col("ts"))).alias("up"), F.min(F.when(F.col("price") <= F.col("sl"), F.col("ts"))).alias("down"),
-        F.min(tick).alias("first"), F.max(tick).alias("last"),
+    spans = ev.join(inner, "event_id", "left").withColumn("bucket", F.explode_outer(looked))
+    inside = F.col("ts").between(F.col("t0"), F.col("t1")) & (F.col("t0") < F.col("t1"))
+    met = spans.join(at, ["asset", "bucket"], "left").groupBy("event_id", "asset", "t0", "t1", "head", "tail").agg(
+        F.min(F.when(inside & (F.col("price") >= F.col("pt")), F.col("ts"))).alias("up"), F.min(F.when(inside & (F.col("price") <= F.col("sl")), F.col("ts"))).alias("down"),
+        F.min(F.when(inside, tick)).alias("first"), F.max(F.when(inside, tick)).alias("last"),
     )
-    out = ev.join(inner.select("event_id", "head", "tail"), "event_id", "left").join(seen, "event_id", "left")
     first, last = F.least("first", "head"), F.greatest("last", "tail")
     y = F.coalesce(_label(F.col("up"), F.col("down"), first["price"], last["price"]), F.lit(0))
-    return out.select("event_id", "asset", "t0", "t1", y.alias("y"))
+    return met.select("event_id", "asset", "t0", "t1", y.alias("y"))
 
 
 def realised(labels: DataFrame) -> DataFrame:

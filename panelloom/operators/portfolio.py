@@ -63,8 +63,8 @@ def rebalance(weighted: DataFrame, frequency: Rebalance | str = Rebalance.DAILY,
     return weighted.withColumn("weight", F.coalesce(held, F.lit(0.0)))
 
 
-def construct(scored: DataFrame, max_gross: float = 1.0, max_leverage: float | None = None, frequency: Rebalance | str = Rebalance.DAILY) -> DataFrame:
-    weighted = rank_weights(scored, max_gross)
+def construct(scored: DataFrame, max_gross: float = 1.0, max_leverage: float | None = None, frequency: Rebalance | str = Rebalance.DAILY, *keys: str) -> DataFrame:
+    weighted = rank_weights(scored, max_gross, *keys)
     if max_leverage is not None:
-        weighted = enforce_leverage(weighted, max_leverage)
-    return rebalance(weighted, frequency)
+        weighted = enforce_leverage(weighted, max_leverage, *keys)
+    return rebalance(weighted, frequency, *keys)

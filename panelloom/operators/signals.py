@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import inspect
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.functions.windows import across, along, change, ewm_mean, lag, rolling, rolling_cov, rolling_std
+from panelloom.functions.windows import across, along, change, ewm_mean, lag, rolling, rolling_cov, rolling_std, running
 from panelloom.session import ship
 from panelloom.sources.panels import with_returns
 
@@ -131,6 +132,53 @@ def ma_crossover(panel: DataFrame, short_window: int = 10, long_window: int = 50
     return _scored(with_returns(panel), rolling(F.avg, p, short_window, along()) - rolling(F.avg, p, long_window, along()))
 
 
+#: Signals that are a window's sum: what is summed, and the score from sum and count.
+WINDOW_SUMS: dict[str, tuple[Callable[[], Column], Callable[[Column, Column], Column]]] = {
+    "momentum": (lambda: F.col("ret"), lambda s, n: s),
+    "mean_reversion": (lambda: F.col("ret"), lambda s, n: -s),
+    "volatility": (lambda: F.col("ret") * F.col("ret"), lambda s, n: -s / n),
+}
+
+
+def _by_length(panel: DataFrame, signal: str, table: DataFrame) -> DataFrame:
+    """Scores of windows of every ``value`` rows in ``table``, as differences of one running sum at two places.
+
+    Each row sends its running sum to the date after it, where a window ends, and its negative to the date after
+    the window that begins behind it, so one grouping serves all lengths; the score comes out lagged.
+    """
+    x, score = WINDOW_SUMS[signal]
+    ever = running(along())
+    df = with_returns(panel).withColumns({"__s": F.sum(F.coalesce(x(), F.lit(0.0))).over(ever), "__n": F.count(x()).over(ever)})
+    part = lambda at, s, n, row: F.struct(at.alias("at"), s.alias("s"), n.alias("n"), row.alias("row"))
+    row = F.struct("ts", "price", "ret")
+    none = F.when(F.lit(False), row)
+    pos, s, n = F.col("pos"), F.col("__s"), F.col("__n")
+    parts = F.array(part(pos, F.lit(0.0), F.lit(0).cast("long"), row), part(pos + 1, s, n, none), part(pos + F.col("value") + 1, -s, -n, none))
+    rows = df.crossJoin(F.broadcast(table)).select("place", "value", "asset", F.explode(parts).alias("e"))
+    out = rows.groupBy("place", "value", "asset", F.col("e.at").alias("pos")).agg(F.sum("e.s").alias("s"), F.sum("e.n").alias("n"), F.max("e.row").alias("row")).filter("row is not null")
+    full = F.when(F.col("n") >= F.col("value"), score(F.col("s"), F.col("n")))
+    return out.select("place", "value", "asset", "row.ts", "pos", "row.price", "row.ret", full.alias("score"))
+
+
+def candidate_scores(panel: DataFrame, signal: str, name: str, candidates: list, **options) -> DataFrame:
+    """(place, value, asset, ts, pos, price, ret, score): the signal for every candidate of its option ``name``.
+
+    One plan over one panel, with the candidate as a key, for the lookback of window sums and the span of the
+    exponential momentum; for other signals and options the candidates' plans side by side.
+    """
+    spark = panel.sparkSession
+    if name == "lookback" and signal in WINDOW_SUMS or (signal, name) == ("ewma_momentum", "span"):
+        _positive(**{name: min(candidates)})
+        table = spark.createDataFrame([(k, int(c)) for k, c in enumerate(candidates)], "place int, value int")
+        if name == "lookback":
+            return _by_length(panel, signal, table)
+        df = with_returns(panel).crossJoin(F.broadcast(table))
+        df = ewm_mean(df, "__ewm", "ret", F.col("value"), ["place", "asset"])
+        return df.withColumn("score", F.lag("__ewm").over(along("place"))).select("place", "value", "asset", "ts", "pos", "price", "ret", "score")
+    each = [compute_signal(signal, panel, **(options | {name: c})).withColumns({"place": F.lit(k), "value": F.lit(c)}) for k, c in enumerate(candidates)]
+    return reduce(DataFrame.unionByName, each).select("place", "value", "asset", "ts", "pos", "price", "ret", "score")
+
+
 def _one_step(r: np.ndarray, order: tuple[int, int, int]) -> np.ndarray:
     """In-sample one-step forecasts of an ARIMA model fitted by two-stage least squares."""
     p, d, q = order

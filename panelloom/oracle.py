@@ -327,6 +327,15 @@ for _span in (10, 20):
     simulated(f"span{_span}", f"span{_span}_w")
     cte(f"span{_span}_f", (f"span{_span}", "folds"), f"SELECT fold, CASE WHEN stddev_samp(net) > 1e-12 THEN avg(net) / stddev_samp(net) * sqrt(252) ELSE 0.0 END AS sharpe FROM span{_span} b JOIN folds ON b.ts = folds.t0 GROUP BY fold")
 
+# A search over twenty lookbacks: the candidate goes into the names of assets and into positions, as below.
+cte("look", (), "SELECT i AS place, 5 * (i + 1) AS n FROM range(20) t(i)")
+cte("look_r", (R, "look"), f"SELECT place || ':' || asset AS asset, ts, place * 1000000 + pos AS pos, price, ret, n FROM {R}, look")
+cte("look_m", ("look_r",), f"SELECT *, CASE WHEN count(ret) OVER w >= n THEN sum(ret) OVER w END AS s FROM look_r WINDOW w AS ({AL} ROWS BETWEEN n - 1 PRECEDING AND CURRENT ROW)")
+cte("look_s", ("look_m",), f"SELECT asset, ts, pos, price, ret, lag(s) OVER ({AL}) AS score FROM look_m")
+ranked("look_w", "look_s")
+simulated("look_sim", "look_w")
+cte("look_f", ("look_sim", "folds"), "SELECT pos // 1000000 AS place, fold, CASE WHEN stddev_samp(net) > 1e-12 THEN avg(net) / stddev_samp(net) * sqrt(252) ELSE 0.0 END AS sharpe FROM look_sim b JOIN folds ON b.ts = folds.t0 GROUP BY 1, 2")
+
 # Two signals at fixed weights, through the risk model.
 cte("mixed", ("z_momentum", "z_ewma"), "SELECT a.asset, a.ts, a.pos, a.price, a.ret, 0.25::DOUBLE * a.score + 0.75::DOUBLE * b.score AS score FROM z_momentum a JOIN z_ewma b USING (asset, pos)")
 risk("mixed_w", "mixed")

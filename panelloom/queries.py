@@ -288,7 +288,15 @@ def deflated_sharpe_z(spark, sf_dir):
     return spark.createDataFrame([(z,)], "z double").select(r6("z").alias("z"))
 
 
-@query("bootstrap_ci")
+_SAMPLED = (
+    "s AS (SELECT row_number() OVER (ORDER BY pos) - 1 AS at, net FROM bt WHERE net IS NOT NULL), n AS (SELECT count(*) AS n, greatest(floor(sqrt(count(*))), 1)::BIGINT AS block FROM s), "
+    "d AS (SELECT d.draw, i.i, ('0x' || substr(md5('42:' || d.draw || ':' || i.i), 1, 13))::BIGINT % n AS start, n, block FROM n, range(1000) d(draw), range(100000) i(i) WHERE i.i * block < n), "
+    "m AS (SELECT draw, coalesce(avg(net) / CASE WHEN stddev_samp(net) > 1e-12 THEN stddev_samp(net) END * sqrt(252), 0.0) AS m "
+    "FROM d, range(1000) o(o) JOIN s ON s.at = (start + o) % n WHERE o < block AND i * block + o < n GROUP BY draw)"
+)
+
+
+@query("bootstrap_ci", o.render("", "bt").rstrip() + ", " + _SAMPLED + " SELECT round(quantile_cont(m, 0.025), 6) + 0.0 AS low, round(quantile_cont(m, 0.975), 6) + 0.0 AS high, count(*)::BIGINT AS draws FROM m")
 def bootstrap_ci(spark, sf_dir):
     return rounded(metrics.block_bootstrap(bt.backtest(panels.line_smooth(spark, sf_dir)).daily))
 
@@ -449,6 +457,30 @@ def optimize_ewma(spark, sf_dir):
     return rounded(search.optimize_ewma(panels.line_smooth(spark, sf_dir), [10, 20]).scores)
 
 
+@query("search_lookbacks", o.render("SELECT place::INT AS place, round(avg(sharpe), 6) + 0.0 AS mean, round(median(sharpe), 6) + 0.0 AS median FROM look_f GROUP BY place", "look_f"))
+def search_lookbacks(spark, sf_dir):
+    """Twenty lookbacks of the momentum, scored over the folds in one plan."""
+    return rounded(search.optimize_parameter(panels.line_smooth(spark, sf_dir), "momentum", "lookback", _LOOKBACKS).scores)
+
+
+_LOOKBACKS = list(range(5, 101, 5))
+#: The normal distribution function by its series, term by term.
+_PHI = "0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(120), lambda k: list_product(list_transform(range(k + 1), lambda j: z * CASE WHEN j = 0 THEN 1 ELSE z / (2 * j + 1) END))))"
+_BEST20 = metrics.expected_best(20)
+_DSR = (
+    "SELECT place, year, n, sharpe, CASE WHEN v > 0 THEN sharpe / sqrt(v) - " + repr(_BEST20) + "::DOUBLE ELSE 0.0 END AS z FROM (SELECT place, year, n, s AS sharpe, (1 - g * s + k / 4 * s * s) / (n - 1) AS v FROM "
+    "(SELECT pos // 1000000 AS place, year(ts) AS year, count(net) AS n, avg(net) / stddev_samp(net) AS s, skewness(net) AS g, kurtosis(net) AS k FROM look_sim GROUP BY 1, 2))"
+)
+
+
+@query("deflated_sharpe", o.render(f"SELECT 5 * (place + 1)::INT AS lookback, year::INT AS year, n::BIGINT AS n, round(sharpe, 6) + 0.0 AS sharpe, round({_BEST20!r}::DOUBLE, 6) AS best, round(z, 6) + 0.0 AS z, round({_PHI}, 6) + 0.0 AS dsr FROM ({_DSR})", "look_sim"))
+def deflated_sharpe(spark, sf_dir):
+    """Each of twenty lookbacks in each year, judged against the best that twenty would reach by chance."""
+    daily = search.candidate_returns(panels.line_smooth(spark, sf_dir), "momentum", "lookback", _LOOKBACKS)
+    table = metrics.deflated_sharpe_table(daily.withColumn("year", F.year("ts")), len(_LOOKBACKS), "value", "year")
+    return rounded(table.select(F.col("value").alias("lookback"), "year", "n", "sharpe", "best", "z", "dsr"))
+
+
 # --- labels, features, models, differencing
 
 

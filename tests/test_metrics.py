@@ -1,4 +1,6 @@
+import hashlib
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -55,16 +57,24 @@ def test_newey_west_gaps_and_edges(spark, returns):
 
 
 def test_bootstrap(spark, returns):
-    r = returns[:101]
-    block, starts = metrics.bootstrap_starts(101, None, 60, 1)
-    means = []
+    r, block = returns[:101], 10
+    starts = [[int(hashlib.md5(f"1:{d}:{i}".encode()).hexdigest()[:13], 16) % 101 for i in range(11)] for d in range(60)]
+    means, ratios = [], []
     for row in starts:
         at = np.concatenate([(s + np.arange(block)) % 101 for s in row])[:101]
         means.append(r[at].mean())
+        ratios.append(r[at].mean() / r[at].std(ddof=1) * math.sqrt(252))
     got = metrics.block_bootstrap(series(spark, r), F.avg("net"), draws=60, seed=1).first()
     assert (got.low, got.high) == (pytest.approx(np.percentile(means, 2.5)), pytest.approx(np.percentile(means, 97.5)))
     again = metrics.block_bootstrap(series(spark, r), draws=60, seed=1, function=np.mean).first()
     assert again.low == pytest.approx(got.low)
+    with_gaps = [v for x in r for v in (x, None)]
+    for block in (None, 101, 500):
+        sharpe = metrics.block_bootstrap(series(spark, with_gaps), draws=60, seed=1, block=block).first()
+        each = metrics.block_bootstrap(series(spark, with_gaps), F.avg("net") / F.stddev_samp("net") * math.sqrt(252), draws=60, seed=1, block=block).first()
+        assert (sharpe.low, sharpe.high) == (pytest.approx(each.low), pytest.approx(each.high))
+        assert block or sharpe.low == pytest.approx(np.percentile(ratios, 2.5))
+    assert metrics.block_bootstrap(series(spark, [0.01] * 30), draws=5).first().high == 0
     with pytest.raises(ValueError):
         metrics.block_bootstrap(series(spark, [None]))
 
@@ -84,6 +94,25 @@ def test_deflated_sharpe(spark, returns):
         metrics.deflated_sharpe(series(spark, returns), 0)
 
 
+def test_deflated_sharpe_of_many(spark, returns):
+    many = series(spark, returns).withColumn("trials", F.explode(F.array(*[F.lit(k) for k in (1, 2, 10, 500)])))
+    rows = metrics.deflated_sharpe_table(many, F.col("trials"), "trials").collect()
+    for r in rows:
+        assert r.best == pytest.approx(metrics.expected_best(r.trials), abs=1e-12)
+        assert (r.z, r.dsr) == tuple(pytest.approx(metrics.deflated_sharpe(series(spark, returns), r.trials)[k]) for k in ("z", "dsr"))
+    assert len(rows) == 4
+
+
+def test_normal_functions(spark):
+    n = NormalDist()
+    x = [-40.0, -8.3, -7.0, -3.2, -1e-9, 0.0, 0.5, 2.0, 7.2, 9.0]
+    p = [1e-300, 1e-12, 0.001, 0.02425, 0.3, 0.5, 0.77, 0.99, 1 - 1e-9]
+    rows = spark.createDataFrame([(v,) for v in x], "v double").select("v", metrics.normal_cdf(F.col("v")).alias("y")).collect()
+    assert all(r.y == pytest.approx(n.cdf(r.v), rel=1e-9, abs=1e-15) for r in rows if r.v > -10)
+    rows = spark.createDataFrame([(v,) for v in [*p, 0.0, 1.0]], "v double").select("v", metrics.normal_quantile(F.col("v")).alias("y")).collect()
+    assert all(r.y is None if r.v in (0, 1) else r.y == pytest.approx(n.inv_cdf(r.v), rel=1e-9, abs=1e-12) for r in rows)
+
+
 def test_plot_tables(spark, returns):
     df = series(spark, returns[:84])
     table = simulate.monthly_table(df).first()

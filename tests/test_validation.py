@@ -197,6 +197,13 @@ def test_search(spark):
     r = search.optimize_parameter(df, "momentum", "lookback", [5, 10], run_best=True, n_splits=3)
     rows = {x.place: x["mean"] for x in r.scores.collect()}
     assert r.best == [5, 10][max(rows, key=lambda k: (rows[k], -k))] and r.final.settings["lookback"] == r.best
+    for signal, name, tried in (("momentum", "lookback", [3, 10, 200]), ("volatility", "lookback", [7]), ("mean_reversion", "lookback", [4, 4]), ("ewma_momentum", "span", [1, 9]), ("ma_crossover", "short_window", [5, 8])):
+        got = {x.place: (x["mean"], x["median"]) for x in search.optimize_parameter(df, signal, name, tried, n_splits=4, horizon=3).scores.collect()}
+        for k, c in enumerate(tried):
+            each = search.cross_validate_sharpe(df, signal, 4, horizon=3, **{name: c}).agg(F.avg("sharpe"), F.median("sharpe")).first()
+            assert got[k] == (pytest.approx(each[0]), pytest.approx(each[1]))
+    with pytest.raises(ValueError):
+        search.optimize_parameter(df, "momentum", "lookback", [0])
     grid = search.sweep(df, "momentum", [5, 10], [0.5, 1.0])
     assert grid.count() == 4 and search.best_cell(grid).count() == 1
     with pytest.raises(RuntimeError):
