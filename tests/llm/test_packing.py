@@ -39,6 +39,8 @@ def test_ids_equal_the_tokenizers():
     for _ in range(3000):
         text = "".join(rng.choice(parts) + rng.choice(["", " ", " ", " "]) for _ in range(rng.randint(0, 12)))
         assert np.frombuffer(mine.ids(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
+    for text in ("a" * 300_000, " " * 300_000 + "b", "ab " * 400_000, "\n\t" * 100_000):
+        assert np.frombuffer(mine.ids(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
 def test_sweep_takes_the_smallest_free_gap():
