@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelloom.scratch import dropped, scratch_root, written
 from panelloom.session import ship
 
+__all__ = ["ROW", "bound_batches", "dropped", "packed", "scratch_root", "table", "texts_of", "with_occurrence", "word_count", "written"]
 ROW = "__row"
 
 
@@ -25,43 +23,38 @@ def packed(df: DataFrame) -> DataFrame:
     return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias(ROW))
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one where that is unset and all runs in one machine."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("panelloom.scratch", None)
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="panelloom-")
-        spark.conf.set("panelloom.scratch", root)
-    return root.rstrip("/")
-
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet to the shared folder and read it back.
 
-    The table survives lost executors, prunes columns on later reads and gives the optimiser true sizes.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
+def word_count(text):
+    """Number of maximal runs of characters other than space and U+0009 to U+000D; 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete a table made by :func:`written` that no later step reads."""
-    path = getattr(df, "_scratch", None)
-    if path:
-        jvm, jsc = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(jsc.hadoopConfiguration()).delete(at, True)
+def with_occurrence(df: DataFrame, *equal: Column) -> DataFrame:
+    """``df``, written, with ``occurrence``: numbers from 0 among the rows that agree in ``equal``, in any order.
 
+    Rows are counted per task first.  A row that repeats a third of all rows is numbered within each partition
+    of the table, from an offset, so no task numbers more than one partition's repeats; rows without an equal
+    are not shuffled where Spark broadcasts the table of those that have one.
+    """
+    laid = written(df.withColumns({"__key": F.xxhash64(*equal), "__part": F.spark_partition_id()}), "rows")
+    counts = laid.groupBy("__key", "__part").agg(F.count(F.lit(1)).alias("n"))
+    all_parts = Window.partitionBy("__key")
+    before = F.sum("n").over(all_parts.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    many = counts.select("__key", "__part", F.coalesce(before, F.lit(0)).alias("__before"), F.sum("n").over(all_parts).alias("__n")).filter("__n > 1").drop("__n")
+    own = Window.partitionBy("__key", "__part").orderBy("__before")
+    numbered = laid.join(many, ["__key", "__part"]).withColumn("occurrence", F.row_number().over(own) - 1 + F.col("__before")).drop("__before")
+    alone = laid.join(many, ["__key", "__part"], "left_anti").withColumn("occurrence", F.lit(0).cast("long"))
+    return alone.unionByName(numbered).drop("__key", "__part")
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+def texts_of(docs: DataFrame, chosen: DataFrame, value: str) -> DataFrame:
+    """(doc_id, ``value``, text) for rows (of, ``value``) of ``chosen``, a bounded table of distinct ids, which is broadcast.
 
-def word_count(text):
-    """Number of maximal runs of characters other than space and U+0009 to U+000D; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    One row per id, however often the documents repeat it: that of the text with the least hash.
+    """
+    texts = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("of"))
+    least = F.min(F.struct(F.xxhash64("text").alias("hash"), F.col("text").alias("text"))).alias("least")
+    return texts.groupBy("doc_id", value).agg(least).select("doc_id", value, "least.text")

@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -51,20 +50,29 @@ def fingerprints(text: str) -> np.ndarray:
 
 
 def common_runs(item: np.ndarray, doc: np.ndarray, min_tile: int) -> list[tuple[int, int, int]]:
-    """Maximal runs (length, item start, doc start) of equal tokens, at least ``min_tile`` long."""
-    places = defaultdict(list)
-    for i, g in enumerate(grams(item, min_tile).tolist()):
-        places[g].append(i)
-    at = grams(doc, min_tile)
-    pairs = [(j - i, i) for j in np.flatnonzero(np.isin(at, np.array(list(places), U))).tolist() for i in places[int(at[j])]]
-    out: list[list[int]] = []
-    for diagonal, i in sorted(pairs):
-        if out and out[-1][0] == diagonal and out[-1][2] == i - 1:
-            out[-1][2] = i
-        else:
-            out.append([diagonal, i, i])
-    runs = [(last - first + min_tile, first, first + diagonal) for diagonal, first, last in out]
-    return [(n, i, j) for n, i, j in runs if (item[i : i + n] == doc[j : j + n]).all()]
+    """Maximal runs (length, item start, doc start) of equal tokens, at least ``min_tile`` long.
+
+    Only places of ``doc`` under a shared seed are looked at.  The item is read from its end: how long each of those
+    places agrees with the item from token i on is one more than the next place does from token i + 1 on.  So a
+    text of one repeated word costs time by the product of the lengths, and memory by the document's alone.
+    """
+    near = np.zeros(len(doc) + 1, np.int64)
+    at = np.flatnonzero(np.isin(grams(doc, min_tile), grams(item, min_tile)))
+    np.add.at(near, at, 1)
+    np.add.at(near, at + min_tile, -1)
+    place = np.flatnonzero(np.cumsum(near[:-1]) > 0)
+    if not len(place):
+        return []
+    tokens, joins = doc[place], np.append(np.diff(place) == 1, False)  # whether the next one looked at is the next in the text
+    runs, agree, equal = [], np.zeros(len(place) + 1, np.int32), tokens == item[-1]
+    for i in range(len(item) - 1, -1, -1):
+        agree[:-1] = np.where(equal, np.where(joins, agree[1:], 0) + 1, 0)
+        before = tokens == item[i - 1] if i else np.zeros(len(place), bool)
+        goes_on = np.append(False, (before & joins)[:-1])
+        starts = np.flatnonzero((agree[:-1] >= min_tile) & ~goes_on)
+        runs += zip(agree[starts].tolist(), [i] * len(starts), place[starts].tolist(), strict=True)
+        equal = before
+    return runs
 
 
 def tile(item: np.ndarray, doc: np.ndarray, min_tile: int = MIN_TILE) -> list[tuple[int, int, int]]:

@@ -4,11 +4,13 @@ Tokens are summed per source, the total is shared out by weight with a cap per s
 gets a repetition rate.  A document is then emitted floor(rate) times, plus once more with probability
 equal to the fraction, decided by a seeded hash of the document, so that reruns agree.
 
-Shuffles: one partial aggregation to a row per source, and one join of the documents' small rows with
-that table (Spark broadcasts it when it is small and splits a hot source when it is not).
+Texts are counted once, into a written table of small rows (of whole rows where these are emitted).  Shuffles: one
+partial aggregation to a row per source, one of rows that are equal, and one join of the rows with the table of
+sources (Spark broadcasts it when it is small and splits a hot source when it is not).
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; a source
-without words gets target 0 and its documents are not taken; repeated rows draw alike; an empty table
+without words gets target 0 and its documents are not taken; equal rows are numbered and draw apart, the
+first as a row alone would; long texts count whole; of equal cap by weight the first source fills first; an empty table
 gives an empty result; columns of the input keep their names and values whatever they are called.
 """
 
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import ROW, packed, word_count
+from panelloom.llm.common import ROW, packed, with_occurrence, word_count
 
 WEIGHTS = (5, 2, 1)
 #: Share of all words that the mix takes, and the most that a source gets, times its own words.
@@ -50,23 +52,20 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     return per.select("source", "source_size", "weight", "target", rate.alias("rate"))
 
 
-def draw(doc_id: Column, text: Column, seed: int) -> Column:
-    """A whole number in [0, 2**32) that depends on the seed, the id and the text alone."""
-    key = F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit(""))))
+def draw(doc_id: Column, digest: Column, occurrence: Column, seed: int) -> Column:
+    """A whole number in [0, 2**32) that depends on the seed, the id, the text's digest and which of equal rows it is."""
+    key = F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("")), digest, F.when(occurrence > 0, occurrence.cast("string")))
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
 
 
 def _planned(docs: DataFrame, seed: int, keep_rows: bool) -> DataFrame:
     row = packed(docs)
     at = F.col(ROW)
-    own = row.select(
-        *([ROW] if keep_rows else []),
-        at["doc_id"].alias("doc_id"),
-        at["source"].alias("source"),
-        word_count(at["text"]).alias("size"),
-        draw(at["doc_id"], at["text"], seed).alias("draw"),
-    )
-    targets = source_targets(row.select(at["source"].alias("source"), word_count(at["text"]).alias("size")))
+    digest = F.md5(F.coalesce(at["text"], F.lit("")))
+    own = row.select(*([ROW] if keep_rows else []), at["doc_id"].alias("doc_id"), at["source"].alias("source"), word_count(at["text"]).alias("size"), digest.alias("digest"))
+    equal = [F.col(ROW)] if keep_rows else [F.col("doc_id"), F.col("digest"), F.col("source")]
+    own = with_occurrence(own, *equal).withColumn("draw", draw(F.col("doc_id"), F.col("digest"), F.col("occurrence"), seed))
+    targets = source_targets(own.select("source", "size"))
     joined = own.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
     fraction = F.col("rate") - F.floor("rate")
     copies = F.floor("rate") + (F.col("draw") < fraction * F.lit(float(DRAWS))).cast("long")
@@ -88,8 +87,8 @@ def mix_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
 MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(concat('17:', coalesce(doc_id::VARCHAR, ''), ':', md5(coalesce(text, '')))), 1, 8))::BIGINT AS draw
-  FROM documents),
+         ('0x' || substr(md5(concat('17:', coalesce(doc_id::VARCHAR, ''), ':', md5(coalesce(text, '')), CASE WHEN k > 0 THEN concat(':', k) ELSE '' END)), 1, 8))::BIGINT AS draw
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, coalesce(text, ''), source) - 1 AS k FROM documents)),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s),
 l AS (SELECT *, 2 * source_size AS cap,

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from panelloom.llm.common import ROW, bound_batches, dropped, packed, written
 from panelloom.llm.graph import components
-from panelloom.llm.kernels import _ODD, U, counts_by_text, grams, joined, mix, words
+from panelloom.llm.kernels import _ODD, FOLD, U, counts_by_text, grams, joined, mix, words
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -61,6 +61,12 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     return out
 
 
+def true_shingles(text: bytes, width: int) -> set[tuple[bytes, ...]]:
+    """The shingles themselves."""
+    w = text.translate(FOLD.tobytes()).split()
+    return {tuple(w[k : k + width]) for k in range(max(len(w) - width + 1, 1))} if w else set()
+
+
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
     """SetSketch registers, one row of uint8 per set."""
     m, count = REGISTERS, len(sets)
@@ -120,11 +126,18 @@ def _sketched(width: int):
             sets = shingle_sets(values[k : k + 256], width)
             registers = sketches(sets)
             for s, r in zip(sets, registers, strict=True):
-                node = int((mix(s).sum(dtype=U) + U(len(s))).view(np.int64)) if len(s) else 0
-                out.append((len(s), node, r.tobytes()))
-        return pd.DataFrame(out, columns=["n", "node", "sketch"])
+                node, other = (int((mix(s ^ o).sum(dtype=U) + U(len(s))).view(np.int64)) if len(s) else 0 for o in _ODD[:2])
+                out.append((len(s), node, other, r.tobytes()))
+        return pd.DataFrame(out, columns=["n", "node", "other", "sketch"])
+
+    return F.pandas_udf(run, "n long, node long, other long, sketch binary").asNondeterministic()
 
-    return F.pandas_udf(run, "n long, node long, sketch binary").asNondeterministic()
+
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """Sets share a node if two independent sums over their shingles agree; where only the first one does, and that is
+    for a handful of nodes at most, which are broadcast, the node's number is made of both."""
+    clash = rows.groupBy("node").agg(F.min("other").alias("x"), F.max("other").alias("y")).filter("x != y").select("node", F.lit(True).alias("clash"))
+    return rows.join(F.broadcast(clash), "node", "left").withColumn("node", F.when(F.col("clash"), F.xxhash64("node", "other")).otherwise(F.col("node"))).drop("clash", "other")
 
 
 def _estimated(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
@@ -144,7 +157,11 @@ def _verified(width: int, threshold: float):
                 kept, last = shingle_sets([x.encode("utf-8", "replace")], width)[0], x
             other = shingle_sets([y.encode("utf-8", "replace")], width)[0]
             inter = len(np.intersect1d(kept, other, assume_unique=True))
-            out.append(100 * inter >= hundredths * (len(kept) + len(other) - inter))
+            linked = 100 * inter >= hundredths * (len(kept) + len(other) - inter)
+            if linked:  # by fingerprints, so look at the shingles themselves
+                p, q = (true_shingles(t.encode("utf-8", "replace"), width) for t in (x, y))
+                linked = 100 * len(p & q) >= hundredths * len(p | q)
+            out.append(linked)
         return pd.Series(out, dtype=bool)
 
     return F.pandas_udf(run, "boolean").asNondeterministic()
@@ -156,31 +173,22 @@ def band_keys(sketch: Column) -> Column:
 
 #: Hubs per node that are tried before the exact join.
 HUBS = 8
-#: Pairs per task, and rows of the tables that they meet.
-PAIRS_ESTIMATED, PAIRS_VERIFIED = 20_000, 1_000
-NODES_MET, TEXTS_MET = 50_000, 5_000
 #: Shingles in front of its own that a row of the prefix join carries.
 BEFORE = 16
 
 
 class _Pairs:
-    """Estimates and verifies pairs (a, b) of nodes.
-
-    Pairs are written and counted first, so that tasks get a set number of pairs each however they were dealt,
-    and no task meets more than a set number of nodes or texts.
-    """
+    """Estimates and verifies pairs (a, b) of nodes, which are written first, so that adaptive execution sees their size."""
 
     def __init__(self, nodes: DataFrame, texts: DataFrame, width: int, threshold: float):
         self.nodes, self.texts, self.width, self.threshold = nodes, texts, width, threshold
-        self.least_estimating, self.least_verifying = 1 + nodes.count() // NODES_MET, 1 + texts.count() // TEXTS_MET
 
     def likely(self, pairs: DataFrame, least: float = 0.0) -> DataFrame:
         """(a, b, estimate) of the pairs whose sizes let them reach the threshold and whose estimate is ``least`` or more."""
         pairs = written(pairs.select("a", "b"), "pairs")
-        tasks = max(self.least_estimating, 1 + pairs.count() // PAIRS_ESTIMATED)
         side = {s: self.nodes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}")) for s in "ab"}
         met = pairs.join(side["b"], "b").join(side["a"], "a")
-        met = met.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * round(self.threshold * 100)).coalesce(tasks)
+        met = met.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * round(self.threshold * 100))
         estimate = F.pandas_udf(_estimated, "double").asNondeterministic()
         out = written(met.select("a", "b", estimate("sa", "sb", "na", "nb").alias("estimate")).filter(F.col("estimate") >= least), "likely")
         dropped(pairs)
@@ -189,9 +197,8 @@ class _Pairs:
     def linked(self, pairs: DataFrame) -> DataFrame:
         """(a, b, linked) by the full sets."""
         pairs = written(pairs.select("a", "b"), "pairs")
-        tasks = max(self.least_verifying, 1 + pairs.count() // PAIRS_VERIFIED)
         met = pairs.join(self.texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        met = met.join(self.texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").coalesce(tasks)
+        met = met.join(self.texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
         out = written(met.select("a", "b", _verified(self.width, self.threshold)("ta", "tb").alias("linked")), "links")
         dropped(pairs)
         return out
@@ -260,7 +267,7 @@ def _grouped(docs: DataFrame, width: int, threshold: float) -> tuple[DataFrame,
     """Rows (doc_id, th, n, node, sketch), one per document, and nodes with their component, least id and first rows."""
     bound_batches(docs.sparkSession)
     own = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
-    rows = written(own.select("doc_id", F.xxhash64("text").alias("th"), _sketched(width)("text").alias("s")).select("doc_id", "th", "s.*"), "sketch")
+    rows = _told_apart(written(own.select("doc_id", F.xxhash64("text").alias("th"), _sketched(width)("text").alias("s")).select("doc_id", "th", "s.*"), "sketch"))
     nodes = rows.filter("n > 0").groupBy("node").agg(
         F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "th")).alias("rep"),
         F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "th"))).alias("named_rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")

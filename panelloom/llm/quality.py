@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import ROW, bound_batches, packed
+from panelloom.llm.common import ROW, bound_batches, packed, texts_of
 from panelloom.llm.kernels import IS_SPACE, counts_by_text, grams, joined, mix, words
 
 WINDOW = 5
@@ -238,12 +238,14 @@ def measured(x: np.ndarray, rejected: np.ndarray, folds: int = 5, **options) ->
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and rejection of at most ``max_rows`` labelled documents, those with the smallest hash of the id."""
+    """Features and rejection of at most ``max_rows`` labelled documents, those with the smallest hash of the id.
+
+    An id that several rows have counts once, by the text with the least hash.
+    """
     own = labels.select(labels["doc_id"].alias("of"), labels["quality"].alias("quality")).filter("of is not null and quality is not null")
     own = own.groupBy("of").agg(F.min("quality").alias("quality"))
     own = own.orderBy(F.xxhash64("of"), "of").limit(max_rows)  # bounded, so safe to broadcast
-    texts = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(own), F.col("doc_id") == F.col("of"))
-    rows = texts.select("doc_id", "quality", statistics("text").alias("s")).select("doc_id", "quality", *[c.alias(f) for f, c in features(F.col("s")).items()])
+    rows = texts_of(docs, own, "quality").select("doc_id", "quality", statistics("text").alias("s")).select("doc_id", "quality", *[c.alias(f) for f, c in features(F.col("s")).items()])
     got = rows.toPandas().sort_values(["doc_id", *FEATURES], kind="stable")
     return got[list(FEATURES)].to_numpy(float), (got["quality"] == 0).to_numpy()
 

@@ -15,7 +15,8 @@ orders more than one slot.
 
 Defined cases: a null text counts 8 bytes and crc32 0; null ids hash like any value; documents with one
 id but different texts, and equal texts with different ids, spread over slots, so no hot key or group of
-copies fills a slot; rows equal in id and text share a slot and take neighbouring positions; an empty
+copies fills a slot; rows equal in id and text are numbered, in any order, and each number has a slot of its
+own, so one row that repeats many times spreads like others; an empty
 table gives an empty result; clashing column names do not matter, since only the id and text are read.
 """
 
@@ -25,20 +26,16 @@ import heapq
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import scratch_root
+from panelloom.llm.common import scratch_root, with_occurrence
 
 SLOTS = 4096
 SHARDS = 24
 OVERHEAD = 8
 
 
-def virtual_slot(*key: Column, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(*key), F.lit(slots)).cast("int")
-
-
 def slot_sizes(records: DataFrame) -> DataFrame:
     """Rows (vslot, size) to one row per occupied slot: bytes and rows."""
     return records.groupBy("vslot").agg(F.sum("size").alias("slot_bytes"), F.count(F.lit(1)).alias("slot_rows"))
@@ -152,8 +149,11 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, m
         docs["doc_id"].alias("doc_id"),
         (F.octet_length(text).cast("long") + OVERHEAD).alias("size"),
         F.crc32(text).alias("text_crc32"),
-        virtual_slot(docs["doc_id"], docs["text"], slots=slots).alias("vslot"),
+        F.xxhash64(docs["doc_id"], docs["text"]).alias("place"),
     )
+    records = with_occurrence(records, F.col("place"), F.col("size"), F.col("text_crc32"))
+    repeat = F.when(F.col("occurrence") > 0, F.xxhash64("place", "occurrence")).otherwise(F.col("place"))
+    records = records.withColumn("vslot", F.pmod(repeat, F.lit(slots)).cast("int")).drop("place", "occurrence")
     found = {r.vslot: r for r in slot_sizes(records).collect()}  # at most ``slots`` rows
     sizes = {v: r.slot_bytes for v, r in found.items()}
     path = map_path or f"{scratch_root(spark)}/slot-map-{uuid.uuid4().hex}"

@@ -24,7 +24,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import bound_batches
+from panelloom.llm.common import bound_batches, texts_of
 from panelloom.llm.kernels import U
 
 BUCKETS = 1 << 20
@@ -76,11 +76,11 @@ class Model:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
-    """Rows (y, buckets) of at most ``max_rows`` labelled documents outside the held-out fold, by hash of the id."""
+    """Rows (y, buckets) of at most ``max_rows`` labelled documents outside the held-out fold, by hash of the id; an id counts once."""
     own = labels.select(labels["doc_id"].alias("of"), labels["toxic"].alias("y")).filter("of is not null and y is not null")
     own = own.filter(~held_out(F.col("of"))).groupBy("of").agg(F.max("y").cast("double").alias("y"))
     own = own.orderBy(F.xxhash64("of"), "of").limit(max_rows)  # bounded, so safe to broadcast
-    rows = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).join(F.broadcast(own), F.col("doc_id") == F.col("of"))
+    rows = texts_of(docs, own, "y")
     return rows.select("y", F.pandas_udf(_bucket_sets, "array<int>")("text").alias("buckets"))
 
 

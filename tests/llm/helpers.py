@@ -23,3 +23,9 @@ def clashing(df):
 
     names = ("size", "target", "copies", "kept", "score", "node", "key", "hits", "shard", "slot", "spans", "s", "n", "rate", "draw", "of", "text_crc32", "base_failed", "component", "gone")
     return df.withColumns({c: F.lit(1) for c in names})
+
+
+def opposite_words(power: int = 10) -> tuple[str, str]:
+    """Two words of 2**power letters, the second with a and b exchanged: every polynomial modulo 2**64 confuses them."""
+    a = "".join("ab"[bin(k).count("1") % 2] for k in range(1 << power))
+    return a, a.translate(str.maketrans("ab", "ba"))

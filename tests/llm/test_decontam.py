@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from panelloom.llm import decontam
-from tests.llm.helpers import clashing, frame, words
+from tests.llm.helpers import clashing, frame, opposite_words, words
 
 BENCH = "item_id long, text string"
 
@@ -103,3 +103,22 @@ def test_leaks_match_brute_force(spark):
     for bound in (decontam.BROADCAST_TOKENS, 0):
         got = {(r.doc_id, r.item_id, r.n_tokens, r.n_covered) for r in decontam.leaks(frame(spark, docs), bench, broadcast_tokens=bound).collect()}
         assert got == want and len(want) > 15
+
+
+def test_words_that_polynomials_confuse(spark):
+    x, y = opposite_words()
+    item, other = (f"{w} one two three four five" for w in (x, y))
+    bench = spark.createDataFrame([(1, " ".join([x, "p", x, "q", x, "r"]))], BENCH)
+    docs = frame(spark, [" ".join([y, "p", y, "q", y, "r"]), " ".join([x, "p", x, "q", x, "r"])])
+    assert [r.doc_id for r in decontam.leaks(docs, bench).collect()] == [1]
+    assert decontam.tile(decontam.fingerprints(item), decontam.fingerprints(other), 3) == [(1, 1, 5)]
+
+
+def test_one_repeated_word_is_tiled_in_bounded_memory():
+    import tracemalloc
+
+    item, doc = decontam.fingerprints("w " * 2000), decontam.fingerprints("w " * 40_000)
+    tracemalloc.start()
+    assert decontam.tile(item, doc, 5) == [(0, 0, 2000)]
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()

@@ -55,3 +55,14 @@ def test_edges(spark):
     assert plan[(1, 0)].taken == 0 and plan[(2, 0)].target == 0 and plan[(4, 2)].source_size == 4
     assert mixing.mix_plan(docs.limit(0)).count() == 0
     assert mixing.mix_documents(clashing(docs)).columns == clashing(docs).columns
+
+
+def test_equal_rows_draw_apart(spark):
+    """Two thousand equal rows are a source: together they come near its target, as other rows do."""
+    texts = ["four words are here"] * 2000 + [f"w{k} " * 20 for k in range(900)]
+    docs = frame(spark, texts, ids=[5] * 2000 + list(range(10, 910)), sources=["a"] * 2000 + ["b"] * 900)
+    plan = mixing.mix_plan(docs.repartition(5)).collect()
+    own = [r for r in plan if r.source_size == 8000]
+    assert sum(r.taken for r in own) == pytest.approx(own[0].target, rel=0.03) and len({r.copies for r in own}) <= 2
+    assert sorted(plan) == sorted(mixing.mix_plan(docs.repartition(2)).collect())
+    assert mixing.mix_documents(docs).count() == sum(r.copies for r in plan)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from panelloom.llm import graph, neardup
-from tests.llm.helpers import clashing, frame, words
+from tests.llm.helpers import clashing, frame, opposite_words, words
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -134,3 +134,25 @@ def test_keep_first_goes_by_row(spark):
     key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
     want = [(1, base), (7, own), (3, alone), (None, None), (8, ""), (8, ""), (2, other + " end")]
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == sorted(want, key=key)
+
+
+def test_words_that_polynomials_confuse(spark):
+    x, y = opposite_words()
+    texts = [x, y, f"{x} one two three four", f"{y} one two three four", f"{x} {y}", f"{y} {x}", x]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, texts)).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 0}
+
+
+def test_nodes_that_share_a_number_are_told_apart(spark):
+    rows = spark.createDataFrame([(0, 7, 1), (1, 7, 1), (2, 7, 2), (3, 8, 3)], "doc_id long, node long, other long")
+    node = {r.doc_id: r.node for r in neardup._told_apart(rows).collect()}
+    assert node[0] == node[1] != node[2] and node[3] == 8
+
+
+def test_very_long_text(spark):
+    rng = random.Random(9)
+    long = words(rng, 60_000)
+    near = [*long]
+    near[30_000] = "other"
+    got = neardup.near_duplicates(frame(spark, [" ".join(long), " ".join(near), "x" * 400_000])).collect()
+    assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 0, 2: 2}

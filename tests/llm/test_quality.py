@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 
 from panelloom.llm import quality
-from tests.llm.helpers import clashing, frame, words
+from tests.llm.helpers import clashing, frame, opposite_words, words
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -34,6 +34,12 @@ def test_counts_match_brute_force():
     assert [tuple(r[:5]) for r in quality.text_counts(texts).tolist()] == [brute(t) for t in texts]
 
 
+def test_words_that_polynomials_confuse():
+    x, y = opposite_words()
+    texts = [f"{x} b c d e {y} b c d e", f"{x} b c d e {x} b c d e"]
+    assert [tuple(r[:5]) for r in quality.text_counts(texts).tolist()] == [brute(t) for t in texts]
+
+
 def test_learned_list_rejects_by_ordered_expression(spark):
     rng = random.Random(7)
     good, poor = corpus(rng)
@@ -76,3 +82,11 @@ def test_held_out_rows_are_judged_by_a_list_learned_without_them():
     x = rng.random((500, len(quality.FEATURES)))
     got = quality.measured(x, x[:, 2] > 0.7)
     assert got["rows"] == 100 and got["precision"] > 0.9 and got["recall"] > 0.9
+
+
+def test_a_repeated_id_counts_once_in_the_sample(spark):
+    docs = frame(spark, ["a b c " * (k % 9 + 1) for k in range(900)], ids=[k % 3 for k in range(900)]).repartition(4)
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0), (1, 1, 0), (2, 1, 1)], LABELS)
+    x, poor = quality.labelled_sample(docs, labels, max_rows=10)
+    assert len(x) == 3 and poor.sum() == 1
+    assert (quality.labelled_sample(docs.repartition(2), labels, max_rows=10)[0] == x).all()

@@ -2,6 +2,7 @@ import random
 import zlib
 
 from panelloom.llm import toxicity
+from pyspark.sql import functions as F
 from tests.llm.helpers import clashing, frame, words
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -44,3 +45,10 @@ def test_edges(spark):
     one = spark.createDataFrame([(3, 1, 1), (2, 1, 1), (1, 1, 1)], LABELS)
     assert all(r.score > 0.5 for r in toxicity.toxicity_scores(docs, one).collect())
     assert toxicity.toxicity_scores(docs.limit(0), none).count() == 0
+
+
+def test_a_repeated_id_counts_once_in_the_sample(spark):
+    docs = frame(spark, ["some text " * (k % 9 + 1) for k in range(600)], ids=[k % 4 for k in range(600)])
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(4)], "doc_id long, quality int, toxic int")
+    held = spark.range(4).filter(toxicity.held_out(F.col("id"))).count()
+    assert toxicity.training_sample(docs, labels, 10).count() == 4 - held
