@@ -11,7 +11,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.functions.windows import along, convolved
 from panelloom.session import ship
 
 
@@ -45,14 +44,36 @@ def fracdiff(panel: DataFrame, d: float, threshold: float = 1e-4, most: int | No
         return panel.withColumn("value", F.col("price"))
     if most is None:
         most = panel.groupBy("asset").count().agg(F.max("count")).first()[0] or 1
-    weights = list(kernel(d, threshold, most))
-    if mode == "causal":
-        return panel.withColumn("value", convolved(F.col("price"), weights, along()))
-    frame = along().rowsBetween(0, len(weights) - 1)
-    dot = F.aggregate(
-        F.zip_with(F.collect_list("price").over(frame), F.array(*[F.lit(w) for w in weights]), lambda a, b: F.coalesce(a, F.lit(0.0)) * b), F.lit(0.0), lambda acc, v: acc + v
-    )
-    return panel.withColumn("value", dot)
+    return filtered(panel, kernel(d, threshold, most), mode == "forward")
+
+
+def filtered(panel: DataFrame, weights: tuple[float, ...], forward: bool = False, least: int = 4096) -> DataFrame:
+    """Adds value: ``weights`` over an asset's prices, by overlap-save blocks.
+
+    Each block has as many positions again as the kernel, at least, and the rows before it (ahead of it) that its
+    own rows weigh; a row goes to two blocks at most.  One Fourier transform serves a block, so the cost of
+    a row grows with the logarithm of the kernel, and an asset's series is many tasks.
+    """
+    ship(panel.sparkSession)
+    n = len(weights)
+    size = max(least, 1 << (2 * n - 1).bit_length())
+    w = np.array(weights)
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos", ascending=not forward)
+        x, known = pdf["price"].fillna(0.0).to_numpy(float), pdf["price"].notna().to_numpy()
+        m = 1 << (len(x) + n - 1).bit_length()
+        y = np.fft.irfft(np.fft.rfft(x, m) * np.fft.rfft(w, m), m)[: len(x)]
+        seen = np.cumsum(known)
+        seen[n:] -= seen[:-n].copy()
+        out = pdf.drop(columns="block").assign(value=y if forward else np.where(seen == n, y, np.nan))
+        return out[(pdf["pos"] // size == pdf["block"]).to_numpy()]
+
+    low, high = ("greatest(pos - {0}, 0)", "pos") if forward else ("pos", "pos + {0}")
+    blocks = F.sequence(*[F.floor(F.expr(e.format(n - 1)) / size) for e in (low, high)])
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in panel.schema.fields)
+    out = panel.withColumn("block", F.explode(blocks)).groupBy("asset", "block").applyInPandas(block, f"{kinds}, value double")
+    return out.withColumn("value", F.nullif("value", F.lit(float("nan"))))
 
 
 def _adf(x: np.ndarray) -> float:

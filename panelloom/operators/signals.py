@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelloom.functions.windows import across, along, change, ewm_mean, lag, rolling, rolling_cov, rolling_std, running
+from panelloom.operators import arma
 from panelloom.session import ship
 from panelloom.sources.panels import with_returns
 
@@ -179,50 +180,34 @@ def candidate_scores(panel: DataFrame, signal: str, name: str, candidates: list,
     return reduce(DataFrame.unionByName, each).select("place", "value", "asset", "ts", "pos", "price", "ret", "score")
 
 
-def _one_step(r: np.ndarray, order: tuple[int, int, int]) -> np.ndarray:
-    """In-sample one-step forecasts of an ARIMA model fitted by two-stage least squares."""
-    p, d, q = order
-    x = np.diff(r, d) if d else r
-    n, long = len(x), min(max(10, p + q + 5), max(1, len(r) // 4))
-    lags = lambda v, k, start: np.column_stack([v[start - j : n - j] for j in range(1, k + 1)])
-    noise = np.zeros(n)
-    if q:
-        a = np.column_stack([np.ones(n - long), lags(x, long, long)])
-        noise[long:] = x[long:] - a @ np.linalg.lstsq(a, x[long:], rcond=None)[0]
-    start = (long if q else 0) + max(p, q)
-    cols = [np.ones(n - start)] + ([lags(x, p, start)] if p else []) + ([lags(noise, q, start)] if q else [])
-    a = np.column_stack(cols)
-    beta = np.linalg.lstsq(a, x[start:], rcond=None)[0]
-    fit = np.full(n, beta[0])
-    fit[start:] = a @ beta
-    level = r[d - 1 : -1] if d == 1 else 0.0
-    return np.concatenate([np.full(d, r[:d].mean() if d else 0.0), fit + level])
-
-
 @register_signal("arima")
 def arima(panel: DataFrame, order: tuple[int, int, int] = (1, 0, 1)) -> DataFrame:
     """Per asset, one-step forecasts of a model of its returns, fitted on the whole sample (so parameters look ahead).
 
-    Where the fit fails, the rolling mean of the last p returns.  An asset's series is one group.
+    The fit maximises the exact likelihood (``operators.arma``), with a mean where nothing is differenced; a first
+    difference has a first forecast of 0.  Where it fails (too few returns, or all equal), the rolling mean of the
+    last p returns.  A likelihood runs through a series in order, so an asset's returns are one group.
     """
     ship(panel.sparkSession)
-    if order[1] > 1:
+    p, d, q = order
+    if d > 1:
         raise ValueError("differences above 1 are not supported")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos").reset_index(drop=True)
         r, known = pdf["ret"], pdf["ret"].notna().to_numpy()
-        out = np.full(len(pdf), np.nan)
+        out, x = np.full(len(pdf), np.nan), r[known].to_numpy()
         try:
-            out[known] = _one_step(r[known].to_numpy(), order)
+            forecast = arma.fitted(np.diff(x) if d else x, p, q, constant=not d)["forecast"]
+            out[known] = np.append(0.0, x[:-1] + forecast) if d else forecast
         except (np.linalg.LinAlgError, ValueError, IndexError):
-            out = r.rolling(max(order[0], 1)).mean().to_numpy()
+            out = r.rolling(max(p, 1)).mean().to_numpy()
         return pdf.assign(score=out)[["asset", "pos", "score"]]
 
     df = with_returns(panel)
-    fitted = df.select("asset", "pos", "ret").groupBy("asset").applyInPandas(fit, "asset string, pos long, score double")
-    fitted = fitted.withColumn("score", F.nullif(F.col("score"), F.lit(float("nan"))))
-    return _scored(df.join(fitted.withColumnRenamed("score", "__fit"), ["asset", "pos"]), F.col("__fit"))
+    fits = df.select("asset", "pos", "ret").groupBy("asset").applyInPandas(fit, "asset string, pos long, score double")
+    fits = fits.withColumn("score", F.nullif(F.col("score"), F.lit(float("nan"))))
+    return _scored(df.join(fits.withColumnRenamed("score", "__fit"), ["asset", "pos"]), F.col("__fit"))
 
 
 def k_period_change(panel: DataFrame, n: int) -> DataFrame:

@@ -327,6 +327,31 @@ for _span in (10, 20):
     simulated(f"span{_span}", f"span{_span}_w")
     cte(f"span{_span}_f", (f"span{_span}", "folds"), f"SELECT fold, CASE WHEN stddev_samp(net) > 1e-12 THEN avg(net) / stddev_samp(net) * sqrt(252) ELSE 0.0 END AS sharpe FROM span{_span} b JOIN folds ON b.ts = folds.t0 GROUP BY fold")
 
+# An autoregression of returns by exact likelihood: bisection on the sign of its slope in the coefficient, the mean
+# solved for; all from sums.
+def _ar_mean(f: str) -> str:
+    return f"(((1 - {f} * {f}) * x1 + (1 - {f}) * (d - {f} * e)) / ((1 - {f} * {f}) + (n - 1) * (1 - {f}) * (1 - {f})))"
+
+
+def _ar_slope(f: str, mu: str) -> str:
+    both, back = f"(b - {mu} * (d + e) + (n - 1) * {mu} * {mu})", f"(c - 2 * {mu} * e + (n - 1) * {mu} * {mu})"
+    own = f"(a - 2 * {mu} * d + (n - 1) * {mu} * {mu})"
+    square = f"((1 - {f} * {f}) * (x1 - {mu}) * (x1 - {mu}) + {own} - 2 * {f} * {both} + {f} * {f} * {back})"
+    return f"n * (-{f} * (x1 - {mu}) * (x1 - {mu}) - {both} + {f} * {back}) / {square} + {f} / (1 - {f} * {f})"
+
+
+cte("ar_x", (R,), f"SELECT asset, pos, ret, lag(ret) OVER ({AL}) AS before FROM {R} WHERE ret IS NOT NULL")
+cte("ar_sums", ("ar_x",), "SELECT asset, count(*) AS n, arg_min(ret, pos) AS x1, sum(ret * ret) FILTER (before IS NOT NULL) AS a, sum(ret * before) AS b, sum(before * before) AS c, sum(ret) FILTER (before IS NOT NULL) AS d, sum(before) AS e FROM ar_x GROUP BY asset")
+cte(
+    "ar_steps", ("ar_sums",),
+    "SELECT * FROM (WITH RECURSIVE g AS (SELECT *, -0.9999::DOUBLE AS lo, 0.9999::DOUBLE AS hi, 0 AS k FROM ar_sums UNION ALL "
+    f"SELECT * EXCLUDE (lo, hi, k, f, mu), CASE WHEN {_ar_slope('f', 'mu')} > 0 THEN lo ELSE f END, CASE WHEN {_ar_slope('f', 'mu')} > 0 THEN f ELSE hi END, k + 1 "
+    f"FROM (SELECT *, {_ar_mean('f')} AS mu FROM (SELECT *, (lo + hi) / 2 AS f FROM g WHERE k < 90))) SELECT * FROM g WHERE k = 90)",
+)
+cte("ar_fit", ("ar_steps",), f"SELECT asset, (lo + hi) / 2 AS phi, {_ar_mean('((lo + hi) / 2)')} AS mu FROM ar_steps")
+cte("ar_next", ("ar_x", "ar_fit"), "SELECT asset, pos, mu + coalesce(phi * (before - mu), 0.0) AS s FROM ar_x JOIN ar_fit USING (asset)")
+cte("arima_1", (R, "ar_next"), f"SELECT r.asset, r.ts, r.pos, lag(s) OVER (PARTITION BY r.asset ORDER BY r.pos) AS score FROM {R} r LEFT JOIN ar_next a ON a.asset = r.asset AND a.pos = r.pos")
+
 # A search over twenty lookbacks: the candidate goes into the names of assets and into positions, as below.
 cte("look", (), "SELECT i AS place, 5 * (i + 1) AS n FROM range(20) t(i)")
 cte("look_r", (R, "look"), f"SELECT place || ':' || asset AS asset, ts, place * 1000000 + pos AS pos, price, ret, n FROM {R}, look")

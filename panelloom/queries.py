@@ -137,6 +137,12 @@ def sig_arima(spark, sf_dir):
     return cells(signals.arima(panels.line_smooth(spark, sf_dir)), "score")
 
 
+@query("sig_autoregression", cells_sql("arima_1", "score"))
+def sig_autoregression(spark, sf_dir):
+    """The first-order autoregression, whose likelihood is a function of a few sums."""
+    return cells(signals.arima(panels.line_smooth(spark, sf_dir), (1, 0, 0)), "score")
+
+
 @query("ewm_std_vol", o.render(f"SELECT asset, {o.day()} AS day, {o.r6('v')} AS vol FROM dev100", "dev100"))
 def ewm_std_vol(spark, sf_dir):
     return cells(ewm_std(panels.with_returns(panels.line_smooth(spark, sf_dir)), "vol", "ret", 100, ["asset"]), "vol")
@@ -551,7 +557,7 @@ def min_order(spark, sf_dir):
 
 @query("meta_model")
 def meta_model(spark, sf_dir):
-    return rounded(model.meta_model(panels.smoothed(panels.orders_weekly(spark, sf_dir))))
+    return rounded(model.meta_model(panels.line_smooth(spark, sf_dir)))
 
 
 @query("synthetic_panel")

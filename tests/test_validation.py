@@ -185,9 +185,53 @@ def test_unit_root_p_values():
     assert fracdiff.unit_root_p(3.0) == 1.0 and fracdiff.unit_root_p(-20.0) == 0.0 and fracdiff.unit_root_p(0.0) > 0.9
 
 
+def newton(x, y, steps=50):
+    """Logistic regression with a unit L2 penalty on all but the intercept, one group at a time."""
+    a = np.column_stack([np.ones(len(x)), x])
+    ridge, b = np.diag([0.0] + [1.0] * x.shape[1]), np.zeros(x.shape[1] + 1)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(a @ b, -50, 50)))
+        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + ridge + 1e-12 * np.eye(len(b)), a.T @ (y - p) - ridge @ b)
+        b += step
+        if np.abs(step).max() < 1e-10:
+            break
+    return b
+
+
+def test_logistic_fits_equal_one_at_a_time(spark):
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for g in range(7):
+        x = rng.normal(0, 1 + g, (40 + 5 * g, 2))
+        y = (x[:, 0] - x[:, 1] + rng.normal(0, 2, len(x)) > 0).astype(float) if g else (x[:, 0] > 0).astype(float)
+        want[g] = newton(x, y)
+        rows += [(g, float(a), float(b), int(c)) for (a, b), c in zip(x, y, strict=True)]
+    df = spark.createDataFrame(rows, "g long, u double, v double, y int").repartition(5)
+    got = {r.g: [r.b0, r.b1, r.b2] for r in model.logistic_fits(df, ["g"], "y", ["u", "v"]).collect()}
+    assert got.keys() == want.keys()
+    for g, b in want.items():
+        np.testing.assert_allclose(got[g], b, rtol=1e-8, atol=1e-8)
+    assert model.logistic_fits(df.limit(0), ["g"], "y", ["u", "v"]).count() == 0
+
+
 def test_meta_model(spark):
-    got = {r.asset: r for r in model.meta_model(panel(spark, walk(300, 2, 1)), span=20).collect()}
-    assert len(got) == 2 and all(0 <= r.cv_accuracy_mean <= 1 and r.n_positive + r.n_negative == r.n_samples and r.folds <= 5 for r in got.values())
+    df = panel(spark, walk(300, 2, 1))
+    got = {r.asset: r for r in model.meta_model(df, span=20, n_splits=4, embargo=0.01).collect()}
+    for asset, rows in model.training_table(df, span=20).toPandas().sort_values("pos").groupby("asset"):
+        n, scores = len(rows), []
+        s0, s1 = (np.array([pd.Timestamp(t).timestamp() for t in rows[c]]) for c in ("t0", "t1"))
+        x, y, e = rows[model.FEATURES].to_numpy(float), rows["meta"].to_numpy(float), (s1.max() - s0.min()) * 0.01
+        fold = np.repeat(np.arange(4), [n // 4 + (k < n % 4) for k in range(4)])
+        for k in range(4):
+            test = fold == k
+            train = ~test & ((s0 > s1[test].max() + e) | (s1 < s0[test].min() - e))
+            if len(set(y[train])) == 2:
+                m, d = x[train].mean(0), x[train].std(0)
+                b = newton((x[train] - m) / d, y[train])
+                scores.append(((b[0] + (x[test] - m) / d @ b[1:] > 0) == (y[test] == 1)).mean())
+        r = got[asset]
+        assert (r.n_samples, r.n_positive, r.folds) == (n, y.sum(), len(scores)) and r.n_positive + r.n_negative == n
+        assert (r.cv_accuracy_mean, r.cv_accuracy_std) == (pytest.approx(np.mean(scores)), pytest.approx(np.std(scores)))
     few = model.meta_model(panel(spark, walk(28, 1)), lookback=20, span=5).collect()
     assert all(r.cv_accuracy_mean is None for r in few)
 
