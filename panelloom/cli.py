@@ -15,7 +15,7 @@ from panelloom.operators.portfolio import Rebalance
 from panelloom.operators.risk import RiskConfig
 from panelloom.operators.signals import REGISTRY
 from panelloom.plans import blend, search
-from panelloom.plans.backtest import backtest, check_panel
+from panelloom.plans.backtest import backtest, check_observed, observed_panel
 from panelloom.session import local_session
 from panelloom.sources.loaders import UNIVERSES, load_prices
 from panelloom.sources.panels import clean
@@ -24,7 +24,7 @@ from panelloom.sources.panels import clean
 def _prices(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     tickers = UNIVERSES.get(args.universe) if getattr(args, "universe", None) else args.tickers
     panel = load_prices(spark, args.csv, tickers, args.start, args.end, n_names=args.names, n_days=args.days, seed=args.seed)
-    check_panel(panel)
+    panel, args.observed = observed_panel(panel)
     return panel
 
 
@@ -146,3 +146,5 @@ def build_parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> None:
     args = build_parser().parse_args(argv)
     args.run(SparkSession.getActiveSession() or local_session(), args)
+    if hasattr(args, "observed"):
+        check_observed(args.observed)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import logging
+import uuid
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from panelloom.operators.metrics import backtest_summary
 from panelloom.operators.portfolio import Rebalance, construct
@@ -13,6 +16,9 @@ from panelloom.operators.signals import compute_signal
 from panelloom.operators.simulate import drawdown_stop, simulate, with_equity
 
 
+log = logging.getLogger(__name__)
+
+
 @dataclass
 class BacktestResult:
     """daily (ts, pos, gross, turnover, cost, net, stopped, equity, drawdown), weights, metrics (one row)."""
@@ -26,13 +32,25 @@ class BacktestResult:
         return self.metrics.first().asDict() | self.settings
 
 
-def check_panel(panel: DataFrame) -> None:
-    """Fails on fewer than two dates or no asset; reads one small aggregate."""
-    from pyspark.sql import functions as F
+def observed_panel(panel: DataFrame) -> tuple[DataFrame, Observation]:
+    """The panel, and counts that ride on the first action that reads it: no scan of their own."""
+    seen = Observation(f"panel-{uuid.uuid4().hex}")
+    gap = F.col("price").isNull() & (F.col("pos") > 0)
+    counts = [F.count(F.lit(1)).alias("cells"), F.coalesce(F.max("pos") + 1, F.lit(0)).alias("dates"), F.count_if(gap).alias("gaps")]
+    return panel.observe(seen, *counts), seen
+
+
+def check_observed(seen: Observation) -> dict[str, int]:
+    """Cells, dates and gaps after the action; fails on fewer than two dates, warns of gaps, which are carried forward.
 
-    dates, assets = panel.agg(F.count_distinct("ts"), F.count_distinct("asset")).first()
-    if dates < 2 or assets < 1:
-        raise ValueError(f"need at least 2 dates and 1 asset, got {dates} and {assets}")
+    A price missing on the first date is no gap.  Waits for the action if it still runs.
+    """
+    counts = seen.get
+    if counts["dates"] < 2:
+        raise ValueError(f"need at least 2 dates, got {counts['dates']}")
+    if counts["gaps"]:
+        log.warning("%d of %d prices are missing and carried forward", counts["gaps"], counts["cells"])
+    return counts
 
 
 def backtest(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import logging
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +12,6 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from panelloom.sources.panels import wide_to_long
 
-log = logging.getLogger(__name__)
 
 # Lists of tickers by name.
 UNIVERSES = {
@@ -52,10 +50,7 @@ def csv_prices(spark: SparkSession, path: str, date: str = "Date") -> DataFrame:
     wide = spark.read.csv(path, header=True, inferSchema=True)
     if date not in wide.columns:
         raise ValueError(f"no column {date!r} in {path}")
-    panel = wide_to_long(wide.withColumn(date, F.to_date(date)), date)
-    if not panel.filter("price is null").isEmpty():
-        log.warning("prices in %s have gaps", path)
-    return panel
+    return wide_to_long(wide.withColumn(date, F.to_date(date)), date)
 
 
 class MarketReader(DataSourceReader):

@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from panelloom import cli
+from panelloom.plans import backtest
 from panelloom.queries import QUERIES, SQL
 from panelloom.sources import loaders
 from panelloom.sources.panels import long_to_wide
@@ -91,3 +92,27 @@ def test_command_errors(spark):
     with pytest.raises(ValueError):
         cli.main(["run", "--names", "2", "--days", "1"])
     _ = panel
+
+
+def test_counts_ride_on_the_main_action(spark, caplog):
+    w = walk(30, 2)
+    w.iloc[0, 0] = w.iloc[5, 1] = w.iloc[6, 1] = None
+    df, seen = backtest.observed_panel(panel(spark, w))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("observed", "")
+    daily = backtest.backtest(df).daily.collect()
+    jobs = len(tracker.getJobIdsForGroup("observed"))
+    counts = backtest.check_observed(seen)
+    assert len(tracker.getJobIdsForGroup("observed")) == jobs and len(daily) == 30
+    assert counts == {"cells": 60, "dates": 30, "gaps": 2} and "2 of 60" in caplog.text
+    one, seen = backtest.observed_panel(panel(spark, w.iloc[:1]))
+    one.collect()
+    with pytest.raises(ValueError, match="2 dates"):
+        backtest.check_observed(seen)
+
+
+def test_train_writes_every_asset(spark, tmp_path, capsys):
+    cli.main(["train", "--names", "3", "--days", "160", "--output-dir", str(tmp_path), "--vol-span", "10", "--n-splits", "3"])
+    got = json.loads((tmp_path / "train.json").read_text())
+    assert len(got["assets"]) == 3 and 0 <= got["accuracy_mean"] <= 1
+    assert all(a["n_positive"] + a["n_negative"] == a["n_samples"] for a in got["assets"].values())
