@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
+import inspect
+import math
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -53,33 +58,73 @@ def csv_prices(spark: SparkSession, path: str, date: str = "Date") -> DataFrame:
     return wide_to_long(wide.withColumn(date, F.to_date(date)), date)
 
 
+#: Columns of a feed that hold the price, the first that it has counts.
+CLOSES = ("Adj Close", "Close")
+
+
+def _day(value) -> datetime.date | None:
+    """The day of a date, a time or text; None for None."""
+    if value is None or isinstance(value, datetime.date) and not isinstance(value, datetime.datetime):
+        return value
+    return value.date() if isinstance(value, datetime.datetime) else datetime.date.fromisoformat(str(value)[:10])
+
+
 class MarketReader(DataSourceReader):
-    """One partition per ticker; ``fetch(ticker, start, end)`` gives (date, price) rows."""
+    """Prices of tickers from ``fetch(ticker, start, end)`` or ``fetch(ticker, start, end, interval)``.
+
+    start is inclusive, end is not, both ISO text or None.  A feed gives (time, price) pairs, or mappings with
+    "Date" and price columns, of which the first of CLOSES that the answer has is taken.  The range comes by options: a
+    reader that took filters would keep those of one query for the next on the same DataFrame, as Spark 4.1 shares
+    it between them.  A partition is a ticker in a year, so a long history of one
+    ticker is many tasks (whole tickers where a bar is longer than a day and may cross the year's end); its rows go to
+    Spark as Arrow batches.
+    """
 
     def __init__(self, options: dict, fetch: Callable | None = None):
         self.fetch = fetch
         self.tickers = [t for t in options.get("tickers", "").split(",") if t]
-        self.start, self.end = options.get("start"), options.get("end")
+        self.start, self.end, self.interval = _day(options.get("start")), _day(options.get("end")), options.get("interval", "1d")
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(t) for t in self.tickers]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        cuts = [self.start, self.end]
+        if self.start and self.end and self.start >= self.end:
+            return []
+        if self.start and self.end and (self.interval == "1d" or intraday(self.interval)):
+            cuts = [self.start, *(d for y in range(self.start.year + 1, self.end.year + 1) if (d := datetime.date(y, 1, 1)) < self.end), self.end]
+        return [InputPartition((t, *(None if c is None else c.isoformat() for c in span))) for t in self.tickers for span in zip(cuts, cuts[1:], strict=False)]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         if self.fetch is None:
             raise RuntimeError("no market feed is installed; give fetch(ticker, start, end)")
-        for day, price in self.fetch(partition.value, self.start, self.end):
-            yield partition.value, day, float(price)
+        ticker, start, end = partition.value
+        takes = len(inspect.signature(self.fetch).parameters)
+        rows = list(self.fetch(*(ticker, start, end, self.interval)[:takes]))
+        if rows and isinstance(rows[0], dict):
+            close = next((c for c in CLOSES if any(r.get(c) is not None for r in rows)), None)
+            if close is None:
+                raise ValueError(f"the feed has none of {CLOSES}: {sorted(rows[0])}")
+            rows = [(r["Date"], r.get(close)) for r in rows]
+        time = pa.timestamp("us", "UTC") if intraday(self.interval) else pa.date32()
+        clean = [(t if intraday(self.interval) else _day(t), None if p is None or math.isnan(p) else float(p)) for t, p in rows]
+        for k in range(0, len(clean), 10_000):
+            part = clean[k : k + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array([ticker] * len(part)), pa.array([t for t, _ in part], time), pa.array([p for _, p in part], pa.float64())], names=["asset", "ts", "price"])
+
+
+def intraday(interval: str) -> bool:
+    """Whether an interval such as 5m or 1h is shorter than a day; 1d, 1wk and 1mo are not."""
+    return re.fullmatch(r"\d+[mh]", interval) is not None
 
 
 class MarketSource(DataSource):
-    """``spark.read.format("market").option("tickers", "A,B")``: asset, ts, price."""
+    """``spark.read.format("market").option("tickers", "A,B")``: asset, ts, price; options start, end and interval."""
 
     @classmethod
     def name(cls) -> str:
         return "market"
 
     def schema(self) -> str:
-        return "asset string, ts date, price double"
+        return f"asset string, ts {'timestamp' if intraday(self.options.get('interval', '1d')) else 'date'}, price double"
 
     def reader(self, schema) -> MarketReader:
         return MarketReader(self.options)
@@ -95,12 +140,20 @@ def market_source(fetch: Callable | None = None) -> type[DataSource]:
     return Fed
 
 
-def market_prices(spark: SparkSession, tickers: list[str], start: str, end: str, drop_gaps: bool = True, fetch: Callable | None = None) -> DataFrame:
-    """Adjusted closes by the feed ``fetch``; dates on which an asset has no price drop out."""
+def market_rows(spark: SparkSession, tickers: list[str], start: str | None = None, end: str | None = None, interval: str = "1d", fetch: Callable | None = None) -> DataFrame:
+    """(asset, ts, price) as the feed gives them, from ``start`` up to but without ``end``."""
+    if not tickers:
+        raise ValueError("no tickers")
+    spark.dataSource.register(market_source(fetch))
+    options = {"tickers": ",".join(tickers), "start": start, "end": end, "interval": interval}
+    return spark.read.format("market").options(**{k: v for k, v in options.items() if v is not None}).load()
+
+
+def market_prices(spark: SparkSession, tickers: list[str], start: str | None = None, end: str | None = None, drop_gaps: bool = True, fetch: Callable | None = None, interval: str = "1d") -> DataFrame:
+    """Adjusted closes by the feed ``fetch`` as a dense panel; dates on which an asset has no price drop out."""
     from panelloom.sources.panels import dense_panel
 
-    spark.dataSource.register(market_source(fetch))
-    rows = spark.read.format("market").options(tickers=",".join(tickers), start=start, end=end).load()
+    rows = market_rows(spark, tickers, start, end, interval, fetch)
     panel = dense_panel(rows, F.col("asset"), F.col("ts"), F.col("price"))
     if not drop_gaps:
         return panel

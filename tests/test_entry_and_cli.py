@@ -1,3 +1,4 @@
+import datetime
 import json
 import math
 import os
@@ -65,11 +66,48 @@ def test_market_source(spark):
         first = datetime.date.fromisoformat(start)
         return [(first + datetime.timedelta(k), 10.0 * k) for k in range(3) if ticker == "A" or k != 1]
 
-    rows = loaders.market_prices(spark, ["A", "B"], "2020-01-01", "2020-02-01", fetch=fetch).orderBy("asset", "pos").collect()
+    rows = loaders.market_prices(spark, ["A", "B"], "2020-01-01", "2020-02-01", fetch=fetch).orderBy("asset", "pos").collect()  # one year, one call
     assert [(r.asset, str(r.ts), r.pos, r.price) for r in rows] == [(a, d, p, x) for a in "AB" for d, p, x in (("2020-01-01", 0, 0.0), ("2020-01-03", 1, 20.0))]
     assert set(loaders.UNIVERSES) == {"faang", "mag7", "sp500_top10", "sectors_etf"}
 
 
+def test_market_reader_splits_years_and_prefers_adjusted_closes():
+    asked = []
+
+    def fetch(ticker, start, end, interval):
+        asked.append((ticker, start, end, interval))
+        return [{"Date": datetime.datetime(2021, 3, 1, 15), "Close": 5.0, "Adj Close": None if ticker == "B" else 4.0}, {"Date": "2021-03-02", "Close": float("nan"), "Adj Close": None}]
+
+    reader = loaders.MarketReader({"tickers": "A,B", "start": "2020-06-01", "end": "2021-03-02"}, fetch)
+    d, parts = datetime.date, reader.partitions()
+    assert [p.value for p in parts] == [(t, *s) for t in "AB" for s in (("2020-06-01", "2021-01-01"), ("2021-01-01", "2021-03-02"))]
+    got = [b.to_pylist() for p in parts for b in reader.read(p)]
+    assert asked[0] == ("A", "2020-06-01", "2021-01-01", "1d") and len(asked) == 4
+    assert got[0] == [{"asset": "A", "ts": d(2021, 3, 1), "price": 4.0}, {"asset": "A", "ts": d(2021, 3, 2), "price": None}]
+    assert got[2][0]["price"] == 5.0 and got[2][1]["price"] is None
+    assert loaders.MarketReader({"tickers": "A", "start": "2020-01-01", "end": "2022-01-01", "interval": "1wk"}, fetch).partitions()[0].value == ("A", "2020-01-01", "2022-01-01")
+    assert loaders.MarketReader({"tickers": "A", "start": "2022-01-01", "end": "2022-01-01"}, fetch).partitions() == []
+    assert loaders.intraday("5m") and loaders.intraday("1h") and not any(map(loaders.intraday, ("1d", "1wk", "1mo")))
+    bad = loaders.MarketReader({"tickers": "A"}, lambda t, s, e: [{"Date": d(2020, 1, 1), "Open": 1.0}])
+    with pytest.raises(ValueError, match="Open"):
+        list(bad.read(bad.partitions()[0]))
+
+
+def test_market_feed_through_spark(spark):
+    def recorded(ticker, start, end):
+        import datetime
+
+        days = (datetime.date(2019, 12, 30) + datetime.timedelta(k) for k in range(900))
+        return [{"Date": x, "Adj Close": float(x.toordinal())} for x in days if start <= x.isoformat() < end]
+
+    rows = loaders.market_rows(spark, ["A", "B"], "2019-12-30", "2022-01-01", fetch=recorded)
+    cut = rows.filter("ts >= '2020-12-30' and ts < '2021-01-03' and asset = 'B'")
+    assert sorted((r.asset, r.ts.isoformat()) for r in cut.collect()) == [("B", d) for d in ("2020-12-30", "2020-12-31", "2021-01-01", "2021-01-02")]
+    assert rows.count() == 2 * 733 and rows.rdd.getNumPartitions() == 6
+    with pytest.raises(ValueError, match="no tickers"):
+        loaders.market_rows(spark, [])
+
+
 @pytest.mark.parametrize("command", [["run", "--rebalance", "weekly", "--max-drawdown", "0.2"], ["cv"], ["combined", "--no-risk"], ["sweep", "--lookbacks", "5", "10", "--grosses", "1"], ["passive"], ["fetch"]])
 def test_commands(spark, tmp_path, capsys, command):
     cli.main([*command, "--names", "4", "--days", "90", "--output-dir", str(tmp_path)])
