@@ -179,6 +179,35 @@ def test_least_order(spark):
     assert loose.d == 0.0 and loose.stationary
 
 
+def dickey_fuller(x):
+    """Statistic with a constant, lags by the AIC, one least-squares fit after another."""
+    n, dx = len(x), np.diff(x)
+    most, best = max(min(int(np.ceil(12 * (n / 100) ** 0.25)), n // 2 - 3), 0), (np.inf, np.nan)
+    for k in range(most + 1):
+        y = dx[most:]
+        a = np.column_stack([x[most:-1], np.ones(len(y))] + [dx[most - j : len(dx) - j] for j in range(1, k + 1)])
+        beta = np.linalg.lstsq(a, y, rcond=None)[0]
+        rss = ((y - a @ beta) ** 2).sum()
+        aic = len(y) * np.log(rss / len(y)) + 2 * a.shape[1]
+        if aic < best[0]:
+            best = (aic, beta[0] / np.sqrt(rss / (len(y) - a.shape[1]) * np.linalg.pinv(a.T @ a)[0, 0]))
+    return best[1]
+
+
+@pytest.mark.parametrize("least", [64, 4096])
+def test_least_order_equals_one_fit_after_another(spark, least):
+    w = walk(700, 3, 12)
+    w["A2"] = 5000 + 10 * w["A2"]
+    w.iloc[[3, 200, 201], 0] = np.nan
+    got = {r.asset: r for r in fracdiff.least_order(panel(spark, w), threshold=0.005, p_threshold=0.0, least=least).collect()}
+    for a in w:
+        x = w[a].dropna().to_numpy()
+        assert set(got[a].tested) == {0.1, 0.2, 0.3, 0.4, 0.5, 0.6} and not got[a].stationary
+        for d, p in got[a].tested.items():
+            y = np.convolve(x, fracdiff.kernel(d, 0.005, len(x)), mode="valid")
+            assert p == pytest.approx(fracdiff.unit_root_p(dickey_fuller(y)), rel=1e-7, abs=1e-10)
+
+
 def test_unit_root_p_values():
     """The published five and ten per cent points, and the ends of the table."""
     assert abs(fracdiff.unit_root_p(-2.86154) - 0.05) < 0.001 and abs(fracdiff.unit_root_p(-2.56677) - 0.10) < 0.001
