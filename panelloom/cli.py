@@ -92,7 +92,7 @@ def cmd_sweep(spark: SparkSession, args: argparse.Namespace) -> None:
 def cmd_passive(spark: SparkSession, args: argparse.Namespace) -> None:
     panel = _prices(spark, args)
     made = {"equal_weight": simulate.equal_weight_returns(panel), "buy_and_hold": simulate.buy_and_hold_returns(panel), "inverse_vol": simulate.inverse_vol_returns(panel)}
-    _show({k: metrics.fold_summary(v).first().asDict() for k, v in made.items()}, Path(args.output_dir) / "passive.json")
+    _show({k: metrics.passive_summary(v).first().asDict() for k, v in made.items()}, Path(args.output_dir) / "passive.json")
 
 
 def cmd_fetch(spark: SparkSession, args: argparse.Namespace) -> None:

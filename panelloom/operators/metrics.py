@@ -93,6 +93,17 @@ def fold_summary(daily: DataFrame, periods: int = 252, *keys: str) -> DataFrame:
     )
 
 
+def passive_summary(daily: DataFrame, periods: int = 252, *keys: str) -> DataFrame:
+    """Of the non-NULL returns of a passive portfolio, rounded half to even to 6 places, ratios to 4; NULL below two returns."""
+    p = _parts(daily.filter(F.col("net").isNotNull()), *keys)
+    cagr = F.when(F.col("last") > 0, _growth(F.col("last"), periods)).otherwise(F.lit(-1.0))
+    columns = {
+        "cagr": (cagr, 6), "ann_vol": (F.col("sd") * math.sqrt(periods), 6), "sharpe": (_sharpe(periods), 4),
+        "max_dd": (F.col("max_dd"), 6), "calmar": (_calmar(cagr, F.lit(0.0)), 4),
+    }
+    return p.select(*keys, *[F.when(F.col("n") >= 2, F.bround(c, k)).alias(name) for name, (c, k) in columns.items()], F.col("n").alias("n_days"))
+
+
 def annual_sharpe(daily: DataFrame, periods: int = 252, *keys: str) -> DataFrame:
     return _parts(daily, *keys).select(*keys, _sharpe(periods).alias("sharpe"))
 

@@ -199,6 +199,10 @@ def parts(name: str, base: str, keys: str = "") -> str:
 
 
 parts("p_bt", "bt")
+for _name in ("b_eqw", "b_bh", "b_ivol"):
+    cte(f"{_name}_n", (_name,), f"SELECT *, NULL::DOUBLE AS turnover FROM {_name} WHERE net IS NOT NULL")
+    equity(f"{_name}_q", f"{_name}_n")
+    parts(f"p_{_name}", f"{_name}_q")
 SHARPE = "coalesce(mean / nullif(sd, 0) * sqrt(252), 0.0)"
 CAGR = "CASE WHEN last > 0 THEN pow(last, 252.0 / n) - 1 ELSE -1.0 END"
 

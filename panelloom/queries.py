@@ -8,6 +8,7 @@ decimal rounding.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -259,6 +260,23 @@ def metrics_fold(spark, sf_dir):
     return rounded(metrics.fold_summary(bt.backtest(panels.line_smooth(spark, sf_dir)).daily))
 
 
+def _passive_sql() -> str:
+    values = {"cagr": (o.CAGR, 6), "ann_vol": ("sd * sqrt(252)", 6), "sharpe": (o.SHARPE, 4), "max_dd": ("max_dd", 6), "calmar": (f"CASE WHEN max_dd <> 0 THEN ({o.CAGR}) / abs(max_dd) ELSE 0.0 END", 4)}
+    columns = ", ".join(f"CASE WHEN n >= 2 THEN round_even({v}, {k}) + 0.0 END AS {name}" for name, (v, k) in values.items())
+    names = {"equal_weight": "p_b_eqw", "buy_and_hold": "p_b_bh", "inverse_vol": "p_b_ivol"}
+    return o.render(" UNION ALL ".join(f"SELECT '{k}' AS portfolio, {columns}, n AS n_days FROM {v}" for k, v in names.items()), *names.values())
+
+
+@query("metrics_passive", _passive_sql())
+def metrics_passive(spark, sf_dir):
+    """The three passive portfolios side by side."""
+    panel = panels.line_smooth(spark, sf_dir)
+    made = {"equal_weight": simulate.equal_weight_returns, "buy_and_hold": simulate.buy_and_hold_returns, "inverse_vol": simulate.inverse_vol_returns}
+    rows = reduce(DataFrame.unionByName, [f(panel).select("ts", "pos", "net", F.lit(k).alias("portfolio")) for k, f in made.items()])
+    out = metrics.passive_summary(rows, 252, "portfolio")
+    return out.select("portfolio", *[(F.col(c) + F.lit(0.0)).alias(c) for c in ("cagr", "ann_vol", "sharpe", "max_dd", "calmar")], "n_days")
+
+
 @query("sharpe_annual", o.render(f"SELECT {o.r6(o.SHARPE)} AS sharpe FROM p_bt", "p_bt"))
 def sharpe_annual(spark, sf_dir):
     return rounded(metrics.annual_sharpe(bt.backtest(panels.line_smooth(spark, sf_dir)).daily))

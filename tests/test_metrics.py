@@ -113,6 +113,17 @@ def test_normal_functions(spark):
     assert all(r.y is None if r.v in (0, 1) else r.y == pytest.approx(n.inv_cdf(r.v), rel=1e-9, abs=1e-12) for r in rows)
 
 
+def test_passive_summary_rounds_half_to_even(spark, returns):
+    r = pd.Series(returns)
+    equity = (1 + r).cumprod()
+    cagr, dd = equity.iloc[-1] ** (252 / len(r)) - 1, (equity / equity.cummax() - 1).min()
+    got = metrics.passive_summary(series(spark, [None, *returns])).first()
+    assert (got.cagr, got.ann_vol, got.sharpe) == (round(cagr, 6), round(r.std() * 252**0.5, 6), round(252**0.5 * r.mean() / r.std(), 4))
+    assert (got.max_dd, got.calmar, got.n_days) == (round(dd, 6), round(cagr / abs(dd), 4), 300)
+    one = metrics.passive_summary(series(spark, [0.5, None])).first()
+    assert one.cagr is None and one.sharpe is None and one.n_days == 1
+
+
 def test_plot_tables(spark, returns):
     df = series(spark, returns[:84])
     table = simulate.monthly_table(df).first()
