@@ -44,6 +44,7 @@ def with_occurrence(df: DataFrame, *equal: Column) -> DataFrame:
     all_parts = Window.partitionBy("__key")
     before = F.sum("n").over(all_parts.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     many = counts.select("__key", "__part", F.coalesce(before, F.lit(0)).alias("__before"), F.sum("n").over(all_parts).alias("__n")).filter("__n > 1").drop("__n")
+    many = written(many, "repeats")  # so that its true size is known before the rows are joined with it
     own = Window.partitionBy("__key", "__part").orderBy("__before")
     numbered = laid.join(many, ["__key", "__part"]).withColumn("occurrence", F.row_number().over(own) - 1 + F.col("__before")).drop("__before")
     alone = laid.join(many, ["__key", "__part"], "left_anti").withColumn("occurrence", F.lit(0).cast("long"))

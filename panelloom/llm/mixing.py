@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelloom.llm.common import ROW, packed, with_occurrence, word_count
+from panelloom.llm.common import ROW, packed, with_occurrence, word_count, written
 
 WEIGHTS = (5, 2, 1)
 #: Share of all words that the mix takes, and the most that a source gets, times its own words.
@@ -65,7 +65,7 @@ def _planned(docs: DataFrame, seed: int, keep_rows: bool) -> DataFrame:
     own = row.select(*([ROW] if keep_rows else []), at["doc_id"].alias("doc_id"), at["source"].alias("source"), word_count(at["text"]).alias("size"), digest.alias("digest"))
     equal = [F.col(ROW)] if keep_rows else [F.col("doc_id"), F.col("digest"), F.col("source")]
     own = with_occurrence(own, *equal).withColumn("draw", draw(F.col("doc_id"), F.col("digest"), F.col("occurrence"), seed))
-    targets = source_targets(own.select("source", "size"))
+    targets = written(source_targets(own.select("source", "size")), "targets")  # its true size is known to the join
     joined = own.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
     fraction = F.col("rate") - F.floor("rate")
     copies = F.floor("rate") + (F.col("draw") < fraction * F.lit(float(DRAWS))).cast("long")
