@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from panelloom.functions.windows import TINY, across, along, running
 
 
+#: Dates that :func:`date_blocks` keeps together; each block has one more, of the block before it.
+BLOCK = 8
+
+
 class Rebalance(str, Enum):
     DAILY = "daily"
     WEEKLY = "weekly"
@@ -22,13 +26,13 @@ def rank_weights(scored: DataFrame, max_gross: float = 1.0, *keys: str) -> DataF
     Scores are compared at 12 places, so that the order of summation upstream cannot reorder near ties.
     """
     df = scored.withColumn("__s", F.round("score", 12))
-    known = F.col("__s").isNotNull()
-    group = Window.partitionBy(*keys, "pos", known)
-    tied = F.count(F.lit(1)).over(Window.partitionBy(*keys, "pos", known, "__s"))
-    rank = F.when(known, F.rank().over(group.orderBy("__s")) + (tied - 1) / 2)
+    df = df.withColumn("__known", F.col("__s").isNotNull())  # a column, so that one sort serves all windows here
+    group = Window.partitionBy(*keys, "pos", "__known")
+    tied = F.count(F.lit(1)).over(group.orderBy("__s").rangeBetween(Window.currentRow, Window.currentRow))
+    rank = F.when(F.col("__known"), F.rank().over(group.orderBy("__s")) + (tied - 1) / 2)
     df = df.withColumn("__r", rank).withColumn("__c", F.col("__r") - F.avg("__r").over(group))
     gross = F.nullif(F.sum(F.abs("__c")).over(group), F.lit(0.0))
-    return df.withColumn("weight", F.coalesce(F.col("__c") / gross, F.lit(0.0)) * max_gross).drop("__s", "__r", "__c")
+    return df.withColumn("weight", F.coalesce(F.col("__c") / gross, F.lit(0.0)) * max_gross).drop("__s", "__known", "__r", "__c")
 
 
 def zscores(scored: DataFrame, name: str = "score", to: str | None = None, *keys: str) -> DataFrame:
@@ -68,3 +72,18 @@ def construct(scored: DataFrame, max_gross: float = 1.0, max_leverage: float | N
     if max_leverage is not None:
         weighted = enforce_leverage(weighted, max_leverage, *keys)
     return rebalance(weighted, frequency, *keys)
+
+
+def date_blocks(scored: DataFrame, size: int = BLOCK) -> DataFrame:
+    """Rows dealt out by ``__block``, ``size`` dates each, the date before a block's first one included.
+
+    With ``__block`` as a key, steps across the assets of a date and steps from a date to the next need no
+    shuffle but this one.  :func:`own_dates` leaves out the repeated dates.
+    """
+    block, following = F.floor(F.col("pos") / size), F.floor((F.col("pos") + 1) / size)
+    blocks = F.when(following > block, F.array(block, following)).otherwise(F.array(block))
+    return scored.withColumn("__block", F.explode(blocks)).repartition("__block")
+
+
+def own_dates(blocks: DataFrame, size: int = BLOCK) -> DataFrame:
+    return blocks.filter(F.floor(F.col("pos") / size) == F.col("__block")).drop("__block")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from panelloom.operators.metrics import backtest_summary
-from panelloom.operators.portfolio import Rebalance, construct
+from panelloom.operators.portfolio import Rebalance, construct, date_blocks, own_dates
 from panelloom.operators.signals import compute_signal
 from panelloom.operators.simulate import drawdown_stop, simulate, with_equity
 
@@ -64,9 +64,18 @@ def backtest(
     max_drawdown: float | None = None,
     **options: Any,
 ) -> BacktestResult:
-    """Options reach the signal if it takes them."""
-    weights = construct(compute_signal(signal, panel, **options), max_gross, max_leverage, frequency)
-    daily = simulate(weights, cost_bps, impact)
+    """Options reach the signal if it takes them.
+
+    Daily weights need no date but the one before, so they are made and judged in blocks of dates; weights that are
+    held longer go back to their assets.
+    """
+    scored = compute_signal(signal, panel, **options)
+    if Rebalance(frequency) is Rebalance.DAILY:
+        blocks = construct(date_blocks(scored), max_gross, max_leverage, frequency, "__block")
+        weights, daily = own_dates(blocks), own_dates(simulate(blocks, cost_bps, impact, "__block"))
+    else:
+        weights = construct(scored, max_gross, max_leverage, frequency)
+        daily = simulate(weights, cost_bps, impact)
     if max_drawdown is not None:
         daily = drawdown_stop(daily, max_drawdown)
     settings = {

@@ -10,16 +10,27 @@ from panelloom.functions.windows import across, along, change, forward_fill, rol
 SMOOTH = 28
 
 
-def dense_panel(rows: DataFrame, asset: Column, ts: Column, value: Column) -> DataFrame:
+def dense_panel(rows: DataFrame, asset: Column, ts: Column, value: Column, tasks: int | None = None) -> DataFrame:
     """asset, ts, pos, price: the mean value of each cell, NULL where an asset has none on a date.
 
-    Dates and assets are crossed to a spine, so that lags by row are lags by date; the calendar, which does
-    not grow with the assets, is broadcast.  The spine joins the cells, which are already aggregated.
+    Every asset has a row for every date, so that lags by row are lags by date; the calendar, which does not grow
+    with the assets, is broadcast.  Only the cells that there are get shuffled, to their assets: each then fills the
+    dates up to its asset's next cell, and the panel stays dealt out by asset for the windows along it.  ``tasks``
+    fixes their number for wide panels, as adaptive execution would judge it by the cells, which are far fewer.
     """
     cells = rows.groupBy(asset.alias("asset"), ts.alias("ts")).agg(F.avg(value).alias("price"))
-    dates = cells.select("ts").distinct().withColumn("pos", F.row_number().over(Window.orderBy("ts")).cast("long") - 1)
-    spine = cells.select("asset").distinct().crossJoin(F.broadcast(dates))
-    return spine.join(cells, ["asset", "ts"], "left").select("asset", "ts", "pos", "price")
+    dates = rows.select(ts.alias("ts")).distinct()
+    dates = dates.select("ts", F.row_number().over(Window.orderBy("ts")).cast("long").alias("pos")).withColumn("pos", F.col("pos") - 1)
+    placed = dates.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy())).withColumnRenamed("ts", "__ts")
+    cells = cells.join(F.broadcast(placed), F.col("ts").eqNullSafe(F.col("__ts")))
+    cells = cells.repartition(tasks, "asset") if tasks else cells
+    first = F.when(F.lag("pos").over(along()).isNull(), F.lit(0).cast("long")).otherwise(F.col("pos"))
+    after = F.coalesce(F.lead("pos").over(along()), F.col("__n"))
+    known = F.when(F.col("asset").isNotNull() & F.col("ts").isNotNull(), F.col("price"))  # no cell of an unknown asset or date is a price
+    spans = cells.select("asset", F.col("pos").alias("__at"), known.alias("__price"), first.alias("__first"), after.alias("__after"))
+    spine = spans.select("asset", "__at", "__price", F.explode(F.sequence(F.col("__first"), F.col("__after") - 1)).alias("pos"))
+    price = F.when(F.col("pos") == F.col("__at"), F.col("__price")).alias("price")
+    return spine.join(F.broadcast(dates), "pos").select("asset", "ts", "pos", price)
 
 
 def smoothed(panel: DataFrame, rows: int = SMOOTH) -> DataFrame:
@@ -78,7 +89,8 @@ def line_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _read(spark, sf_dir, "lineitem")
-    return dense_panel(t, F.col("l_suppkey").cast("string"), F.to_date("l_shipdate"), F.col("l_extendedprice"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return dense_panel(t, F.col("l_suppkey").cast("string"), F.to_date("l_shipdate"), F.col("l_extendedprice"), tasks)
 
 
 def orders_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
