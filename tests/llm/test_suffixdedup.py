@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from panelloom.llm import suffixdedup
@@ -49,3 +50,56 @@ def test_kept_bytes_and_edges(spark):
     rows = {r.doc_id: r for r in suffixdedup.remove_repeats(frame(spark, [text, text, "tail"], ids=[1, None, 3])).collect()}
     assert bytes(rows[None].kept) == text.encode() and rows[1].n_removed == len(text) and bytes(rows[3].kept) == b"tail"
     assert suffixdedup.remove_repeats(frame(spark, [text]).limit(0)).count() == 0
+
+
+def test_contexts_of_a_crowded_anchor_stay_in_their_tasks(spark, monkeypatch, tmp_path):
+    rng = random.Random(5)
+    passage = " ".join(words(rng, 40))
+    texts = [f"{' '.join(words(rng, 20))} {passage} {' '.join(words(rng, 20))}" for _ in range(200)]
+    for _ in range(300):  # many anchors in two contexts, so that counts of contexts are not small themselves
+        shared = " ".join(words(rng, 50))
+        texts += [f"{' '.join(words(rng, 10))} {shared} {' '.join(words(rng, 10))}" for _ in range(2)]
+    plain, at = suffixdedup._windows, str(tmp_path)
+
+    def noted(length):
+        run = plain(length)
+
+        def noting(batches):
+            from pathlib import Path
+
+            from pyspark import TaskContext
+
+            for batch in batches:
+                for anchor in batch["ahash"].unique():
+                    Path(at, f"{anchor} {TaskContext.get().partitionId()}").touch()
+                yield from run(iter([batch]))
+
+        return noting
+
+    monkeypatch.setattr(suffixdedup, "_windows", noted)
+    # As on large tables: only what is known to be small is broadcast (1 kB here, where the counts of contexts have over 3).
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.autoBroadcastJoinThreshold": "3k"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        rows = suffixdedup.remove_repeats(frame(spark, texts).repartition(4), length=200, keep="none", with_bytes=False, most_contexts=100).collect()
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    got = {r.doc_id: tuple(r)[1:] for r in rows}
+    assert [got[k] for k in range(len(texts))] == brute(texts, 200, False)
+    anchors = [p.name.split()[0] for p in tmp_path.iterdir()]
+    assert len(anchors) > len(set(anchors)) > 0
+
+
+@pytest.mark.parametrize("length", [32, 100, 300])
+def test_suffix_ranks_follow_the_order_of_strings(length):
+    rng = random.Random(7)
+    piece = bytes(rng.choice(b"ab\xff\x00") for _ in range(350))
+    data = piece + bytes(rng.choice(b"ab") for _ in range(200)) + piece
+    starts = np.array(sorted(rng.sample(range(len(data) - length + 1), 200)))
+    strings = [data[i : i + length] for i in starts]
+    order = {t: k for k, t in enumerate(sorted(set(strings)))}
+    assert suffixdedup.suffix_ranks(np.frombuffer(data, np.uint8), starts, length).tolist() == [order[t] for t in strings]
+    key = np.array([5, 1 << 60, 5, 0], np.uint64)
+    assert suffixdedup.dense_ranks(key, (1 << 60) + 1).tolist() == suffixdedup.dense_ranks(key, 1 << 64).tolist() == [1, 2, 1, 0]
